@@ -22,7 +22,9 @@ from marquee.llm.skew import lookup
 from marquee.session import materialise
 
 BUCKET = 64
-FOLD_BYTES = 32 << 20
+FOLD_BYTES = 8 << 20
+#: Rows that are Python objects at a time.
+SLICE = 256
 OWNER_ENTRIES = 50_000
 
 INDEX = "owner long, global_depth int, prefix long, local_depth int, key long, chain int, sha binary, keep_id long, group_size long"
@@ -82,6 +84,12 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for x in batches:
+        for at in range(0, x.num_rows, SLICE):
+            yield from zip(*(c.to_pylist() for c in x.slice(at, SLICE).columns), strict=True)
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One entry per distinct text of the task (of each FOLD_BYTES of distinct texts)."""
 
@@ -91,19 +99,18 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     found: dict[tuple, list] = {}
     held = 0
-    for x in batches:
-        for doc_id, key, text in zip(*(c.to_pylist() for c in x.columns), strict=True):
-            known = found.get((key, text))
-            if known is None:
-                found[key, text] = [doc_id, 1]
-                held += len(text)
-                if held > FOLD_BYTES:
-                    yield out()
-                    found, held = {}, 0
-            else:
-                known[1] += 1
-                if doc_id is not None and (known[0] is None or doc_id < known[0]):
-                    known[0] = doc_id
+    for doc_id, key, text in _rows(batches):
+        known = found.get((key, text))
+        if known is None:
+            found[key, text] = [doc_id, 1]
+            held += len(text)
+            if held > FOLD_BYTES:
+                yield out()
+                found, held = {}, 0
+        else:
+            known[1] += 1
+            if doc_id is not None and (known[0] is None or doc_id < known[0]):
+                known[0] = doc_id
     if found:
         yield out()
 
@@ -127,24 +134,23 @@ def _own(owner_bits: int, key_bits: int):
             rows = [(owner, directory.depth, b.prefix, b.depth, *value) for b in directory.buckets() for _, value in b.entries]
             return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-        for x in batches:
-            for o, k, text, least, n in zip(*(c.to_pylist() for c in x.columns), strict=True):
-                if (o, k) != (owner, key):
-                    if chain:
-                        close_chain()
-                    chain, key = [], k
-                    if o != owner:
-                        if directory is not None:
-                            yield close_owner()
-                        owner, directory = o, Directory(bits)
-                for entry in chain:
-                    if entry[0] == text:  # bytes, not hashes, decide
-                        entry[2] += n
-                        if least is not None and (entry[1] is None or least < entry[1]):
-                            entry[1] = least
-                        break
-                else:
-                    chain.append([text, least, n])
+        for o, k, text, least, n in _rows(batches):
+            if (o, k) != (owner, key):
+                if chain:
+                    close_chain()
+                chain, key = [], k
+                if o != owner:
+                    if directory is not None:
+                        yield close_owner()
+                    owner, directory = o, Directory(bits)
+            for entry in chain:
+                if entry[0] == text:  # bytes, not hashes, decide
+                    entry[2] += n
+                    if least is not None and (entry[1] is None or least < entry[1]):
+                        entry[1] = least
+                    break
+            else:
+                chain.append([text, least, n])
         if chain:
             close_chain()
         if directory is not None:
