@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marquee.llm import flat
 
@@ -308,7 +309,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, keep: tuple[str, ...] =
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_encoder(model))
     schema = docs.select(*keep).schema
-    for name, kind in (("ids", "array<int>"), ("n_pieces", "long"), ("n_bytes", "long"), ("log_score", "double"), ("round_trip", "boolean")):
+    for name, kind in (("ids", T.ArrayType(T.IntegerType())), ("n_pieces", T.LongType()), ("n_bytes", T.LongType()), ("log_score", T.DoubleType()), ("round_trip", T.BooleanType())):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
