@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marquee.llm import exact, lm, ogg, pieces, simhash, toxicity
+from marquee.llm import exact, licenses, lines, lm, ogg, pieces, simhash, toxicity
 from marquee.session import table
 
 QUERIES = {}
@@ -21,6 +22,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -36,6 +42,28 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = lines.drop_boilerplate(pages, lines.host_of(F.col("url")), lines.html_lines(F.col("html")))
+    return found.select("page_id", "host", "n_lines", "n_dropped", "clean_text")
+
+
+ORACLE_SQL["op8_line_dedup"] = r"""
+WITH t AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+  regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'),
+    '(?i)</?(p|br|div|li|ul|ol|h[1-6]|nav|article|footer|header|section|table|tr|td|th|title|head|body|html)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS body FROM pages),
+l AS (SELECT page_id, host, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS pos FROM t),
+k AS (SELECT *, regexp_replace(line, '^[ \t\r\f]+|[ \t\r\f]+$', '', 'g') AS own FROM l),
+h AS (SELECT host, count(*) AS pages FROM t GROUP BY host),
+c AS (SELECT host, own, count(DISTINCT page_id) AS n FROM k WHERE own <> '' GROUP BY host, own),
+bad AS (SELECT c.host, own FROM c JOIN h ON c.host = h.host WHERE n >= 3 AND n > 0.2 * pages)
+SELECT k.page_id, k.host, CAST(count(*) AS INT) AS n_lines, CAST(count(bad.own) AS INT) AS n_dropped,
+  coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE bad.own IS NULL), '') AS clean_text
+FROM k LEFT JOIN bad ON k.host = bad.host AND k.own = bad.own GROUP BY k.page_id, k.host
+"""
+
+
 @_query
 def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_columns(table(spark, sf_dir, "documents"))
