@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import exact, licenses, lines, lm, mixing, ogg, pieces, simhash, toxicity
+from marquee.llm import exact, licenses, lines, lm, mixing, ogg, pieces, simhash, substring, toxicity
 from marquee.session import table
 
 QUERIES = {}
@@ -33,6 +33,11 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
