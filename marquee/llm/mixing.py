@@ -76,15 +76,16 @@ def labelled_sample(docs: DataFrame, labelled: DataFrame, domain: str, per_domai
     """Domains in order and (text, domain) pairs: the first ``per_domain`` of each domain by a hash of the id, of at most ``most_bytes``."""
     from pyspark.sql import Window
 
-    known = docs.join(labelled.select("doc_id").distinct(), "doc_id", "left_semi").filter(F.col(domain).isNotNull() & F.col("doc_id").isNotNull())
-    sized = known.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes).select("doc_id", "text", F.col(domain).alias("_d"))
+    # Ids are chosen without their texts: what is shuffled is an id and a domain a row.
+    sized = docs.filter(F.col(domain).isNotNull() & F.col("doc_id").isNotNull() & (F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)).select("doc_id", F.col(domain).alias("_d"))
+    sized = sized.join(labelled.select("doc_id").distinct(), "doc_id", "left_semi")
     names = sorted(r[0] for r in sized.select("_d").distinct().limit(most_domains + 1).collect())
     if len(names) > most_domains:
         raise ValueError(f"more than {most_domains} domains")
     # The ids are ranked without their texts; a filter within ranks keeps each task to per_domain rows.
     order = Window.partitionBy("_d").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = sized.select("doc_id", "_d").withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_domain).select("doc_id", "_d")
-    rows = sized.join(F.broadcast(ranked), ["doc_id", "_d"]).limit(2 * per_domain * most_domains).collect()
+    ranked = sized.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_domain).select("doc_id", "_d")
+    rows = docs.select("doc_id", "text", F.col(domain).alias("_d")).join(F.broadcast(ranked), ["doc_id", "_d"]).limit(2 * per_domain * most_domains).collect()
     return names, [(r["text"], names.index(r["_d"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))]
 
 
