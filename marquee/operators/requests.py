@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.functions.common import contains_any, first_match, text
+
 
 def domain_stats(log: DataFrame, cutoff_ms: int) -> DataFrame:
     """Requests, successes and success rate in percent (2 decimals, as text) per domain after ``cutoff_ms`` (strictly)."""
@@ -14,3 +16,67 @@ def domain_stats(log: DataFrame, cutoff_ms: int) -> DataFrame:
         .agg(F.count("*").alias("total_requests"), F.sum("success").cast("long").alias("successful_requests"))
         .withColumn("success_rate", F.format_string("%.2f%%", F.col("successful_requests") * 100 / F.col("total_requests")))
     )
+
+
+def over_limit(log: DataFrame, as_of_ms: int, window_ms: int, threshold: int) -> DataFrame:
+    """Per domain: requests in the window before ``as_of_ms`` and whether they reach ``threshold``."""
+    recent = log.filter(F.col("timestamp") > as_of_ms - window_ms)
+    return recent.groupBy("domain").agg(F.count("*").alias("requests")).withColumn("blocked", F.col("requests") >= threshold)
+
+
+def waits(log: DataFrame, delay_ms: int) -> DataFrame:
+    """Each request's gap to the one before it on its domain, and what was left of the delay then."""
+    w = Window.partitionBy("domain").orderBy("timestamp", "id")
+    gap = F.col("timestamp") - F.lag("timestamp").over(w)
+    return log.withColumn("gap_ms", gap).withColumn("wait_ms", F.greatest(F.lit(0), delay_ms - F.col("gap_ms")))
+
+
+def last_request(log: DataFrame) -> DataFrame:
+    return log.groupBy("domain").agg(F.max("timestamp").alias("last_ms"))
+
+
+def overall(log: DataFrame) -> DataFrame:
+    """Totals with a rounded success rate, 0 without requests."""
+    rate = F.coalesce(F.floor(F.try_divide(F.sum("success") * 100.0, F.count("*")) + 0.5), F.lit(0))
+    nearest = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY response_time)")
+    return log.agg(F.count("*").alias("requests"), F.sum("success").alias("successes"), rate.alias("success_rate"), F.median("response_time").alias("median_ms"), nearest.alias("p95_ms"))
+
+
+def next_proxy(proxies: DataFrame, most_failures: int = 3) -> DataFrame:
+    """The proxy to use: fewest failures, then fastest (missing last), then first; failed ones only if all have failed."""
+    order = [(F.col("failures") >= most_failures).cast("int"), F.col("failures"), F.coalesce("response_time", F.lit(999_999)), F.col("ord")]
+    return proxies.orderBy(*order).limit(1)
+
+
+def cache_stats(cache: DataFrame) -> DataFrame:
+    """Entries and hits; hits are null for an empty cache."""
+    return cache.agg(F.count("*").alias("entries"), F.sum("hits").alias("hits"))
+
+
+def fresh(cache: DataFrame, now_ms: int, ttl_ms: int) -> DataFrame:
+    """Entries younger than the time to live."""
+    return cache.filter(F.col("timestamp") > now_ms - ttl_ms)
+
+
+def expired(cache: DataFrame, now_ms: int, ttl_ms: int) -> DataFrame:
+    """Entries that a sweep deletes (strictly older)."""
+    return cache.filter(F.col("timestamp") < now_ms - ttl_ms)
+
+
+def last_write(cache: DataFrame) -> DataFrame:
+    """One entry per URL, the last written; its hits start anew."""
+    last = cache.groupBy("url").agg(F.max(F.struct("timestamp", "ord", "data")).alias("e"))
+    return last.select("url", "e.data", "e.timestamp", F.lit(0).cast("long").alias("hits"))
+
+
+#: What messages say, in order, and the class of the error.
+ERROR_CLASSES = [(["timeout"], "TIMEOUT"), (["cloudflare"], "CLOUDFLARE"), (["rate limit", "429"], "RATE_LIMIT"), (["captcha"], "CAPTCHA"), (["network", "econnrefused"], "NETWORK"), (["blocked", "403"], "BLOCKED")]
+
+
+def error_class(message: Column) -> Column:
+    lower = F.lower(text(message))
+    return first_match([(contains_any(lower, words), F.lit(name)) for words, name in ERROR_CLASSES], F.lit("UNKNOWN"))
+
+
+def backoff_ms(count: Column) -> Column:
+    return F.least(1000 * F.pow(F.lit(2.0), F.least(count, F.lit(60))), F.lit(300_000.0)).cast("long")

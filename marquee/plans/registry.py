@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FLAGSHIP = "request_domain_stats"
+FLAGSHIP = "dedupe_ranked"
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from marquee.plans import requests  # noqa: F401
+    from marquee.plans import dedupe, events, layers, quality, requests, scalars  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
