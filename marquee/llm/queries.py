@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import exact, licenses, lines, lm, mixing, ogg, pieces, simhash, substring, toxicity
+from marquee.llm.batches import small_batches
 from marquee.session import table
 
 QUERIES = {}
@@ -13,8 +16,13 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def _query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 @_query
