@@ -57,3 +57,17 @@ def test_objects_and_cache(spark):
     assert requests.cache_stats(cache.limit(0)).first().hits is None
     proxies = spark.createDataFrame([(1, 3, 5), (2, 1, None), (3, 1, 900)], "ord long, failures long, response_time long")
     assert requests.next_proxy(proxies).first().ord == 3
+
+
+def test_venues(spark):
+    from marquee.operators import venues
+
+    known = venues.known_array(spark.createDataFrame([(1, "The Blue Note", "1 A St, Austin, TX"), (2, "Fillmore", "9 B Ave, San Francisco, CA")], "ord int, name string, address string"))
+    get = lambda v, c="": one(spark, v, lambda x: venues.lookup(x, F.lit(c), known))
+    assert get("the blue-note") == "1 A St, Austin, TX" and get("Fill") == "9 B Ave, San Francisco, CA" and get("Fill", "Austin") is None and get(None) is None
+    near = one(spark, "Filmore", lambda x: venues.near_names(x, known))
+    assert [r.name for r in near] == ["Fillmore"]
+    better = lambda v: one(spark, v, lambda x: venues.better_address(x, F.lit("Fillmore"), F.lit(""), known))
+    assert better("12 Oak St") == "12 Oak St, Austin, TX" and better("downtown") == "9 B Ave, San Francisco, CA"
+    assert one(spark, "https://www.songkick.com/x", lambda x: venues.site_type(x, [("songkick", "songkick")])) == "songkick"
+    assert one(spark, "Please solve the CAPTCHA", lambda x: venues.looks_blocked(x, F.lit("")))
