@@ -92,3 +92,64 @@ def title_quality(title: Column) -> Column:
     size = F.length(title)
     broken = F.contains(title, F.lit("undefined")) | F.contains(title, F.lit("null"))
     return F.when(F.coalesce(title, F.lit("")) == "", 0).otherwise(100 - points(size < 5, 30) - points(size > 100, 20) - points(broken, 50))
+
+
+def group_consistency(results: DataFrame, fields: list[str]) -> DataFrame:
+    """Inputs of like length (bands of 20 characters) in groups of two or more: n and consistency, the sum over fields of (1 - variance of presence) * 100 / fields."""
+    full = lambda f: (F.coalesce(F.col(f).cast("string"), F.lit("")) != "").cast("int")
+    banded = results.filter(F.coalesce("input", F.lit("")) != "").withColumn("band", F.floor(F.length("input") / 20) * 20)
+    parts = [(1 - F.coalesce(F.var_pop(full(f)), F.lit(0.0))) * (100 / len(fields)) for f in fields]
+    return banded.groupBy("band").agg(F.count("*").alias("n"), sum(parts[1:], parts[0]).alias("consistency")).filter("n > 1")
+
+
+def trend(rows: DataFrame, value: str, order: str, keys: list[str]) -> DataFrame:
+    """Mean of the second half less mean of the first, split at n/2 in order."""
+    w = Window.partitionBy(*keys)
+    r = rows.withColumns({"_i": F.row_number().over(w.orderBy(order)), "_n": F.count("*").over(w)})
+    first = F.col("_i") <= F.floor(F.col("_n") / 2)
+    return r.groupBy(*keys).agg((F.avg(F.when(~first, F.col(value))) - F.avg(F.when(first, F.col(value)))).alias("trend"))
+
+
+def leak_risk(growth_percent: Column) -> Column:
+    return F.when(growth_percent > 50, "HIGH").when(growth_percent > 20, "MEDIUM").otherwise("LOW")
+
+
+def speed_score(ms: Column, most_ms: float) -> Column:
+    return F.greatest(F.lit(0.0), 100 - ms / most_ms * 100)
+
+
+def regressions(current: DataFrame, baseline: DataFrame, threshold: float = 10.0) -> DataFrame:
+    """Per metric: change in percent of the baseline and status regression, improvement or stable; metrics without a baseline are new. Rows: metric, value, higher_is_better."""
+    both = current.join(baseline.select("metric", F.col("value").alias("base")), "metric", "left")
+    change = F.try_divide((F.col("value") - F.col("base")) * 100.0, F.col("base"))
+    gain = F.when(F.col("higher_is_better"), change).otherwise(-change)
+    return both.select("metric", change.alias("change"), F.when(F.col("base").isNull(), "new").when(gain < -threshold, "regression").when(gain > threshold, "improvement").otherwise("stable").alias("status"))
+
+
+def weighted_total(scores: dict[str, Column], weights: dict[str, float]) -> Column:
+    """Weighted mean of the scores that are there and not zero; 0 without any."""
+    there = {k: F.coalesce(c, F.lit(0.0)) != 0 for k, c in scores.items()}
+    top = sum((F.when(there[k], scores[k] * weights[k]).otherwise(0.0) for k in scores), F.lit(0.0))
+    return F.coalesce(F.try_divide(top, sum((F.when(there[k], weights[k]).otherwise(0.0) for k in scores), F.lit(0.0))), F.lit(0.0))
+
+
+def address_quality(address: Column, city: str = "austin") -> Column:
+    points = lambda c, n: F.when(c, n).otherwise(0)
+    return F.when(F.coalesce(address, F.lit("")) == "", 50).otherwise(100 - points(~F.contains(address, F.lit(",")), 30) - points(~F.contains(F.lower(address), F.lit(city)), 20))
+
+
+def date_quality(date: Column, time: Column, as_of: Column) -> Column:
+    day = F.try_to_date(F.substring(date, 1, 10), "yyyy-MM-dd")
+    missing = lambda x: F.coalesce(x, F.lit("")) == ""
+    return 100 - F.when(missing(date), 50).when(day.isNull(), 40).when(day < as_of, 20).otherwise(0) - F.when(missing(time), 30).otherwise(0)
+
+
+def compliance(fields: list[Column], address: Column) -> Column:
+    """100 less 20 for each missing field and 20 for an address without a comma."""
+    missing = sum((F.when(F.coalesce(c.cast("string"), F.lit("")) == "", 20).otherwise(0) for c in fields), F.lit(0))
+    return 100 - missing - F.when((F.coalesce(address, F.lit("")) != "") & ~F.contains(address, F.lit(",")), 20).otherwise(0)
+
+
+def most_frequent(rows: DataFrame, value: str) -> DataFrame:
+    """The most frequent value; of equals, the one seen last (by ``ord``)."""
+    return rows.groupBy(value).agg(F.count("*").alias("n"), F.min("ord").alias("first")).orderBy(F.col("n").desc(), F.col("first").desc()).limit(1)

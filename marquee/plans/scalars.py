@@ -133,3 +133,18 @@ def image_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", images.extension(x).alias("extension"), images.url_priority(x).alias("priority"), images.url_key(x).alias("url_key"), images.size_score(w, h).alias("size_score"),
         F.round(100 * images.ratio_score(w / h)).cast("long").alias("ratio_score"),
     )
+
+
+@query(
+    "best_images",
+    f"""WITH t AS (SELECT o_custkey AS event_id, o_orderkey AS ord, {pick_sql('o_orderkey', URLS)} AS url FROM orders), s AS (SELECT *, {' + '.join(f"CAST(CASE WHEN regexp_matches(url, '{p}') THEN {n} ELSE 0 END AS INT)" for p, n in images.PRIORITY)} AS priority,
+      regexp_replace(regexp_replace(regexp_replace(url, '(?i)(_thumb|_small|_large|_hd|_xl)', '', 'g'), '(?i)\\d+x\\d+', '', 'g'), '[?&].*$', '', 'g') AS k FROM t
+      WHERE regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^\\s/?#]+') AND (regexp_matches(url, '(?i)\\.(jpg|jpeg|png|gif|webp|svg)(\\?.*)?$') OR regexp_matches(url, '(?i)(image|img|photo|pic|cdn|media)'))),
+    f AS (SELECT *, row_number() OVER (PARTITION BY event_id, k ORDER BY priority DESC, ord) AS r FROM s), g AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY priority DESC, ord) AS rank FROM f WHERE r = 1)
+    SELECT event_id, CAST(rank AS INT) AS rank, url, priority FROM g WHERE rank <= 5""".replace("\\\\", "\\"),
+)
+def best_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.operators import images as ops
+
+    t = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("event_id"), F.col("o_orderkey").alias("ord"), pick(F.col("o_orderkey"), URLS).alias("url"))
+    return ops.best_images(t)
