@@ -8,6 +8,8 @@ are in memory at a time.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,3 +96,19 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of ordered pairs of hashes."""
     return mix(a * np.uint64(0xD6E8FEB86659FD93) + (b ^ (b >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F) + np.uint64(0x632BE59BD9B4E019))
+
+
+@functools.cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task should not hold a batch's buffers."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)

@@ -154,6 +154,7 @@ def mix(docs: DataFrame, labelled: DataFrame, domain: str = "lang", targets: dic
             n, p = posteriors(x.column(x.schema.get_field_index("text")), table.value)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * k, pa.int32()), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array(n), lists], names=schema.names)
+            flat.release()
 
     light = T.StructType([f for f in schema.fields if f.name in ("n_tokens", "posteriors")])
 

@@ -244,7 +244,7 @@ class Encoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, where each text's ids start (one more entry: the end), and each text's score."""
         all_ids, counts, totals = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for a, b in flat.pieces(column, 3 << 20):
+        for a, b in flat.pieces(column, 1 << 20):
             texts = pc.fill_null(column.slice(a, b - a).cast(pa.large_string()), "")
             marked = pc.replace_substring(texts, " ", MARK)
             lead = pc.if_else(pc.equal(pc.binary_length(texts), 0), pa.scalar("", pa.large_string()), pa.scalar(MARK, pa.large_string()))
@@ -317,7 +317,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, keep: tuple[str, ...] =
         is_byte = np.zeros(len(encoder.scores), bool)
         is_byte[encoder.byte_ids[encoder.byte_ids >= 0]] = True
         for whole in batches:
-            for a, b in flat.pieces(whole.column(whole.num_columns - 1), 3 << 20):
+            for a, b in flat.pieces(whole.column(whole.num_columns - 1), 2 << 20):
                 x = whole.slice(a, b - a)
                 texts = x.column(x.num_columns - 1)
                 ids, edges, scores = encoder.encode(texts)
@@ -325,5 +325,6 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, keep: tuple[str, ...] =
                 same = [encoder.decode(ids[i:j]) == (t.as_py() or "").encode() for i, j, t in zip(edges[:-1], edges[1:], texts, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*x.columns[:-1], lists, pa.array(np.diff(edges)), pa.array(sums[edges[1:]] - sums[edges[:-1]]), pa.array(scores), pa.array(same, pa.bool_())], names=schema.names)
+            flat.release()
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)

@@ -30,8 +30,6 @@ from marquee.llm.skew import lookup
 from marquee.session import materialise
 
 SEED = 42
-#: A key shared by at most this many fingerprints is compared pair by pair.
-FEW = 32
 
 
 def fingerprints_of(column: pa.Array, shingle: int) -> np.ndarray:
@@ -73,6 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", doc_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(fingerprints_of(x.column(1), shingle))], ["doc_id", "fp"])
+            flat.release()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
@@ -94,14 +93,18 @@ def _flips(mask: int, radius: int) -> list[int]:
     return [_signed(sum(1 << i for i in c)) for r in range(radius + 1) for c in combinations(free, r)]
 
 
-def links(fps: DataFrame, distance: int = 2, blocks: int = 4, few: int = FEW) -> DataFrame:
+def links(fps: DataFrame, distance: int = 2, blocks: int = 4, few: int | None = None) -> DataFrame:
     """Links (a, b) that join all distinct ``fp`` at most ``distance`` apart; every link is such a pair.
 
-    ``distance`` is even. Below ``few`` per key all pairs are given, above it enough for the groups to be whole.
+    ``distance`` is even. Up to ``few`` per key all pairs are given, above it enough for the groups to be whole.
+    By default ``few`` is the number of values that a fingerprint is filed under above it, so neither way makes
+    more rows for a fingerprint than that number.
     """
     if distance % 2:
         raise ValueError("distance must be even")
     masks = block_masks(blocks, distance)
+    values = [_flips(m, distance // 2) for m in masks]
+    few = min(map(len, values)) if few is None else few
     keyed = fps.select("fp", F.posexplode(F.array(*(F.lit(m) for m in masks))).alias("choice", "mask"))
     keyed = keyed.select("fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     shared = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -109,7 +112,7 @@ def links(fps: DataFrame, distance: int = 2, blocks: int = 4, few: int = FEW) ->
     small = met.filter(F.col("n") <= few).select("choice", "key", "fp")
     pairs = small.select("choice", "key", F.col("fp").alias("a")).join(small.withColumnRenamed("fp", "b"), ["choice", "key"]).filter("a < b")
     pairs = pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
-    flips = F.array(*(F.array(*(F.lit(v) for v in _flips(m, distance // 2))) for m in masks))
+    flips = F.array(*(F.array(*(F.lit(v) for v in own)) for own in values))
     near = met.filter(F.col("n") > few).select("choice", "key", "fp", F.explode(F.get(flips, F.col("choice"))).alias("flip"))
     near = near.groupBy("choice", F.col("fp").bitwiseXOR(F.col("flip")).alias("at")).agg(F.sort_array(F.collect_set("fp")).alias("met")).filter(F.size("met") > 1)
     stars = near.select(F.col("met")[0].alias("a"), F.explode(F.slice("met", 2, 1 << 20)).alias("b"))
@@ -117,7 +120,7 @@ def links(fps: DataFrame, distance: int = 2, blocks: int = 4, few: int = FEW) ->
     return pairs.unionByName(stars).distinct()
 
 
-def groups(docs: DataFrame, shingle: int = 3, distance: int = 2, blocks: int = 4, few: int = FEW) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 3, distance: int = 2, blocks: int = 4, few: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) and group_size of every row.
 
     Null and empty texts have fingerprint zero, which links like any other.

@@ -160,6 +160,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for x in batches:
             z = local[0].logits(x.column(x.schema.get_field_index("text")))
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array(sigmoid(z))], [*x.schema.names, "toxicity"])
+            flat.release()
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
