@@ -71,3 +71,16 @@ def test_venues(spark):
     assert better("12 Oak St") == "12 Oak St, Austin, TX" and better("downtown") == "9 B Ave, San Francisco, CA"
     assert one(spark, "https://www.songkick.com/x", lambda x: venues.site_type(x, [("songkick", "songkick")])) == "songkick"
     assert one(spark, "Please solve the CAPTCHA", lambda x: venues.looks_blocked(x, F.lit("")))
+
+
+def test_venue_and_address(spark):
+    from marquee.operators import venues
+
+    get = lambda v, c="": tuple(one(spark, v, lambda x: venues.venue_and_address(x, F.lit(c), ["Theater", "Hall"])))
+    assert get("Jazz at The blue note, 1 A St, Austin") == ("Blue Note", "1 A St, Austin", 0.8, "pattern")
+    assert get("Grand Hall, 5 Oak St, Oakland") == ("Grand Hall", "5 Oak St, Oakland", 0.7, "structure")
+    assert get("Blue Note, Oakland") == ("Blue Note", "Oakland", 0.6, "structure")
+    assert get("Blue Note Oakland", "Oakland") == ("Blue Note", "Oakland", 0.5, "context")
+    assert get("somewhere") == ("Somewhere", "San Francisco, CA", 0.3, "fallback") and get(None)[2] == 0.3
+    assert one(spark, "(foo BAR", venues.title_case) == "(Foo Bar"
+    assert one(spark, "Grand Hall", lambda x: venues.venue_confidence(x, ["Hall"])) == 1.0
