@@ -28,6 +28,16 @@ def test_stages(spark):
     assert sorted(r.doc_id for r in seen["SentencePiece"]) == sorted(ids) and all(r.round_trip for r in seen["SentencePiece"])
 
 
+def test_null_and_repeated_ids(spark):
+    """Each group of near copies keeps one row, whatever its ids are."""
+    text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (5, text("b")), (None, text("c")), (None, text("c")), (7, text("d")), (7, text("e")), (8, text("f")), (9, text("g")), (9, text("f")), (4, text("h")), (4, text("h"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text[0]) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()), key=lambda r: r[1])
+    assert got == [(None, "a"), (5, "b"), (None, "c"), (7, "d"), (7, "e"), (8, "f"), (9, "g"), (4, "h")]
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF).count() == 0
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 100 and "ids" in out.columns
