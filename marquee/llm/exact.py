@@ -5,7 +5,10 @@ share sends one entry per task. Owner tasks each process ranges of the key
 space in key order: entries of one key are chained and told apart by comparing
 bytes, and the distinct texts go into the range's extendible-hash directory,
 which doubles when an overfull bucket that already uses all its bits splits.
-The buckets are written to the shared folder; rows find their entry there.
+Directories and buckets are written to the shared folder. A row finds its entry
+as in any extendible hashing: the first bits of its key name the owner, the
+next ones a slot of the owner's directory, the slot a bucket, and in the bucket
+stand the key's chain and in it the text.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ FOLD_BYTES = 8 << 20
 SLICE = 256
 OWNER_ENTRIES = 50_000
 
-INDEX = "owner long, global_depth int, prefix long, local_depth int, key long, chain int, sha binary, keep_id long, group_size long"
+#: A row is an entry (bucket to group_size set) or an owner's directory (global_depth, slots and the owner's rows as group_size).
+INDEX = "owner long, bucket int, prefix long, local_depth int, key long, chain int, sha binary, keep_id long, group_size long, global_depth int, slots array<int>"
 
 
 @dataclass
@@ -119,7 +123,7 @@ def _own(owner_bits: int, key_bits: int):
     bits = key_bits - owner_bits
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("owner", pa.int64()), ("global_depth", pa.int32()), ("prefix", pa.int64()), ("local_depth", pa.int32()), ("key", pa.int64()), ("chain", pa.int32()), ("sha", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+        schema = pa.schema([("owner", pa.int64()), ("bucket", pa.int32()), ("prefix", pa.int64()), ("local_depth", pa.int32()), ("key", pa.int64()), ("chain", pa.int32()), ("sha", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("global_depth", pa.int32()), ("slots", pa.list_(pa.int32()))])
         owner, key, chain, directory = None, None, [], None
 
         def close_chain() -> None:
@@ -131,7 +135,9 @@ def _own(owner_bits: int, key_bits: int):
                 directory.insert((key & ((1 << key_bits) - 1)) & ((1 << bits) - 1), (key, i, sha, least, n))
 
         def close_owner() -> pa.RecordBatch:
-            rows = [(owner, directory.depth, b.prefix, b.depth, *value) for b in directory.buckets() for _, value in b.entries]
+            number = {id(b): i for i, b in enumerate(directory.buckets())}
+            rows = [(owner, number[id(b)], b.prefix, b.depth, *value, None, None) for b in directory.buckets() for _, value in b.entries]
+            rows.append((owner, *[None] * 6, None, sum(r[8] for r in rows), directory.depth, [number[id(b)] for b in directory.slots]))
             return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for o, k, text, least, n in _rows(batches):
@@ -159,24 +165,31 @@ def _own(owner_bits: int, key_bits: int):
     return own
 
 
-def build_index(docs: DataFrame, key_bits: int = 64, rows: int | None = None) -> DataFrame:
-    """The index of all distinct normalised texts, written to the shared folder.
+def build_index(docs: DataFrame, key_bits: int = 64, rows: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """The index of all distinct normalised texts, written to the shared folder: directories, entries, and the bits that name an owner.
 
-    One row per entry: the owner range, the directory's depth, the bucket's
-    prefix and depth, the key, the place in the key's chain, SHA-256, the
-    smallest id and the number of rows. A directory slot leads to the bucket
-    whose prefix is the slot's first local_depth bits. ``key_bits`` below 64
-    makes keys collide (for tests).
+    Directories: owner, global_depth, slots (the number of the bucket that each
+    slot leads to) and n, the rows of the owner. Entries: owner, bucket, its
+    prefix and local_depth, the key, the place in the key's chain, SHA-256, the
+    smallest id and the number of rows. ``key_bits`` below 64 makes keys
+    collide (for tests).
     """
     rows = docs.count() if rows is None else rows
     owner_bits = max(0, min(key_bits, max(8, (max(rows, 1) // OWNER_ENTRIES).bit_length())))
-    text = normalised(F.col("text"))
-    key = F.xxhash64("text") if key_bits == 64 else F.xxhash64("text").bitwiseAND(F.lit((1 << key_bits) - 1))
-    entries = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", key.alias("key"), "text")
+    entries = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text")).select("doc_id", _key("text", key_bits).alias("key"), "text")
     entries = entries.mapInArrow(_fold, "key long, text string, least long, n long")
-    owner = F.shiftrightunsigned("key", key_bits - owner_bits) if owner_bits else F.lit(0).cast("long")
-    dealt = entries.select(owner.alias("owner"), "key", "text", "least", "n").repartition("owner").sortWithinPartitions("owner", "key")
-    return materialise(dealt.mapInArrow(_own(owner_bits, key_bits), INDEX), "extendible_index")
+    dealt = entries.select(_owner(key_bits, owner_bits).alias("owner"), "key", "text", "least", "n").repartition("owner").sortWithinPartitions("owner", "key")
+    index = materialise(dealt.mapInArrow(_own(owner_bits, key_bits), INDEX), "extendible_index")
+    directories = index.filter("slots is not null").select("owner", "global_depth", "slots", F.col("group_size").alias("n"))
+    return directories, index.filter("bucket is not null").drop("global_depth", "slots"), owner_bits
+
+
+def _key(text: str, key_bits: int) -> Column:
+    return F.xxhash64(text) if key_bits == 64 else F.xxhash64(text).bitwiseAND(F.lit((1 << key_bits) - 1))
+
+
+def _owner(key_bits: int, owner_bits: int) -> Column:
+    return F.shiftrightunsigned("key", key_bits - owner_bits) if owner_bits else F.lit(0).cast("long")
 
 
 def exact_groups(docs: DataFrame, key_bits: int = 64) -> DataFrame:
@@ -188,8 +201,17 @@ def exact_groups(docs: DataFrame, key_bits: int = 64) -> DataFrame:
     where its group has no other. An empty table gives no rows; other columns
     are not read.
     """
-    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("sha")), "text_keys")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text"))
+    rows = materialise(text.select("doc_id", _key("text", key_bits).alias("key"), F.unhex(F.sha2("text", 256)).alias("sha")), "text_keys")
     total = rows.count()
-    index = build_index(docs, key_bits, total)
-    found = lookup(rows, index.select("sha", "keep_id", "group_size"), "sha", "group_size", total)
-    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    directories, entries, owner_bits = build_index(docs, key_bits, total)
+    rows = rows.select(_owner(key_bits, owner_bits).alias("owner"), "doc_id", "key", "sha")
+    # The slot is the first global_depth of the bits after the owner's.
+    rest = key_bits - owner_bits
+    inside = F.shiftrightunsigned(F.shiftleft("key", 64 - rest), 1) if rest else F.lit(0).cast("long")
+    slot = F.expr("shiftrightunsigned(_inside, 63 - global_depth)").cast("int")
+    at = lookup(rows.withColumn("_inside", inside), directories, "owner", "n", total).select("doc_id", F.struct("owner", F.get("slots", slot).alias("bucket"), "key", "sha").alias("at"))
+    # In the bucket, the key's chain has the text; the chain's places have different SHA-256, as its owner made sure.
+    held = entries.select(F.struct("owner", "bucket", "key", "sha").alias("at"), "keep_id", "group_size")
+    found = lookup(at, held, "at", "group_size", total)
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("at.sha")).alias("text_sha256"))

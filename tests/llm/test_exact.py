@@ -55,11 +55,27 @@ def test_directory_doubles_and_finds():
     assert all(len(b.entries) <= 4 or len({x[0] for x in b.entries}) == 1 or b.depth == 16 for b in directory.buckets())
 
 
-def test_index_names_buckets(spark):
-    docs = documents(spark, [(i, f"text {i}") for i in range(500)])
-    rows = exact.build_index(docs).collect()
-    assert len(rows) == 500
+def test_rows_find_their_bucket_through_the_directory(spark):
+    docs = documents(spark, [(i, f"text {i}") for i in range(3000)])
+    directories, entries, owner_bits = exact.build_index(docs, key_bits=12)
+    slots = {r.owner: (r.global_depth, r.slots) for r in directories.collect()}
+    rows = entries.collect()
+    assert len(rows) == 3000 and owner_bits == 8 and sum(r.n for r in directories.collect()) == 3000
     for r in rows:
-        bits = 64 - 8
-        assert (r.key & ((1 << 64) - 1)) >> bits == r.owner
-        assert (r.key & ((1 << bits) - 1)) >> (bits - r.local_depth) == r.prefix if r.local_depth else r.prefix == 0
+        depth, owned = slots[r.owner]
+        assert len(owned) == 1 << depth
+        inside = r.key & 15
+        assert r.key >> 4 == r.owner and owned[inside >> (4 - depth)] == r.bucket and inside >> (4 - r.local_depth) == r.prefix
+
+
+def test_a_directory_that_forgets_a_bucket_loses_its_rows(spark, monkeypatch):
+    """Lookups go through the slots: with wrong slots nothing is found."""
+    docs = documents(spark, [(i, f"text {i}") for i in range(50)])
+    real = exact.build_index
+
+    def broken(*args):
+        directories, entries, bits = real(*args)
+        return directories.selectExpr("owner", "global_depth", "transform(slots, x -> -1) AS slots", "n"), entries, bits
+
+    monkeypatch.setattr(exact, "build_index", broken)
+    assert exact.exact_groups(docs).count() == 0
