@@ -14,6 +14,7 @@ rates from the residuals so far. Nothing is collected per document.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,9 @@ from marquee.llm import flat
 from marquee.session import materialise
 
 BITS = 16
+#: Columns that ``mix`` adds.
+ADDED = ("domain", "n_tokens", "posteriors", "rate", "copies")
+MISSED = 1e-3
 
 
 def _buckets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -72,21 +76,28 @@ def _matrix(column: pa.Array, domains: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, domains)
 
 
-def labelled_sample(docs: DataFrame, labelled: DataFrame, domain: str, per_domain: int = 500, most_bytes: int = 1 << 16, most_domains: int = 64) -> tuple[list[str], list[tuple[str, int]]]:
-    """Domains in order and (text, domain) pairs: the first ``per_domain`` of each domain by a hash of the id, of at most ``most_bytes``."""
+def labelled_sample(docs: DataFrame, labelled: DataFrame, domain: str, sample: int = 4000, most_bytes: int = 1 << 14, most_domains: int = 64) -> tuple[list[str], list[tuple[str, int]]]:
+    """Domains in order and (text, domain) pairs: ``sample`` pairs at most, dealt evenly to the domains, the first of each by a hash of the id, of at most ``most_bytes`` each (64 MB in all).
+
+    Of rows that repeat an id and a domain, the text with the smallest hash stands for them. Raises for over ``most_domains`` domains.
+    """
     from pyspark.sql import Window
 
-    # Ids are chosen without their texts: what is shuffled is an id and a domain a row.
-    sized = docs.filter(F.col(domain).isNotNull() & F.col("doc_id").isNotNull() & (F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)).select("doc_id", F.col(domain).alias("_d"))
-    sized = sized.join(labelled.select("doc_id").distinct(), "doc_id", "left_semi")
-    names = sorted(r[0] for r in sized.select("_d").distinct().limit(most_domains + 1).collect())
-    if len(names) > most_domains:
+    short = docs.filter(F.col(domain).isNotNull() & F.col("doc_id").isNotNull() & (F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes))
+    sized = short.select("doc_id", F.col(domain).cast("string").alias("_d")).join(labelled.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    counts = sorted(tuple(r) for r in sized.groupBy("_d").agg(F.count("*").alias("n")).limit(most_domains + 1).collect())
+    if len(counts) > most_domains:
         raise ValueError(f"more than {most_domains} domains")
-    # The ids are ranked without their texts; a filter within ranks keeps each task to per_domain rows.
-    order = Window.partitionBy("_d").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = sized.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_domain).select("doc_id", "_d")
-    rows = docs.select("doc_id", "text", F.col(domain).alias("_d")).join(F.broadcast(ranked), ["doc_id", "_d"]).limit(2 * per_domain * most_domains).collect()
-    return names, [(r["text"], names.index(r["_d"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))]
+    names = [d for d, _ in counts]
+    per_domain = sample // max(len(names), 1)
+    # A hash below this bound leaves two to three times the rows wanted of a frequent domain, so ranking never holds more.
+    bound = F.create_map(*(F.lit(x) for d, n in counts for x in (d, min(1.0, 2.5 * (per_domain + 50) / n)))) if counts else F.lit(None).cast("map<string,double>")
+    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+    order = Window.partitionBy("_d").orderBy("_unit", "doc_id")
+    ranked = sized.withColumn("_unit", unit).filter(F.col("_unit") < bound[F.col("_d")]).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_domain).select("doc_id", "_d")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")
+    rows = short.select("doc_id", "text", F.col(domain).cast("string").alias("_d")).join(F.broadcast(ranked), ["doc_id", "_d"]).groupBy("doc_id", "_d").agg(one).collect()
+    return names, [(r["text"], names.index(r["_d"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["_d"]))]
 
 
 def targets_of(natural: np.ndarray, power: float) -> np.ndarray:
@@ -98,8 +109,11 @@ def targets_of(natural: np.ndarray, power: float) -> np.ndarray:
     return weight * natural.sum() * scale
 
 
-def fit_rates(rows: DataFrame, domains: int, targets: np.ndarray | None = None, power: float = 0.7, least: float = 0.0, rounds: int = 25, tolerance: float = 1e-6) -> np.ndarray:
-    """Steps of projected gradient for ``rows`` (n_tokens, posteriors); see ``rates_of``."""
+def fit_rates(rows: DataFrame, domains: int, targets: np.ndarray | None = None, power: float = 0.7, least: float = 0.0, rounds: int = 25, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Steps of projected gradient for ``rows`` (n_tokens, posteriors), see ``rates_of``, and the residual left, as a share of all target tokens.
+
+    Where bounds on the rates keep targets out of reach, the residual stays; ``mix`` warns of it.
+    """
 
     def sums(steps: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,17 +132,18 @@ def fit_rates(rows: DataFrame, domains: int, targets: np.ndarray | None = None,
             out[r["i"]] = r["x"]
         return out.reshape(domains, domains + 2)
 
-    steps = np.zeros((0, domains))
-    for _ in range(rounds):
+    steps, left = np.zeros((0, domains)), 0.0
+    for step in range(rounds + 1):
         now = sums(steps)
         natural, gram = now[:, 1], now[:, 2:]
         goal = targets_of(natural, power) if targets is None else targets
         residual = now[:, 0] - goal
-        if np.abs(residual).max(initial=0) <= tolerance * max(goal.sum(), 1):
+        left = float(np.abs(residual).max(initial=0) / max(goal.sum(), 1))
+        if left <= tolerance or step == rounds:
             break
         # Least squares in the metric of the Gram matrix: without a bound, one step would do.
         steps = np.vstack([steps, np.linalg.solve(gram + 1e-9 * np.trace(gram) * np.eye(domains) + 1e-12 * np.eye(domains), residual)])
-    return steps
+    return steps, left
 
 
 def mix(docs: DataFrame, labelled: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None, power: float = 0.7, least: float = 0.0) -> DataFrame:
@@ -139,9 +154,12 @@ def mix(docs: DataFrame, labelled: DataFrame, domain: str = "lang", targets: dic
     totals to ``power``, scaled so that no domain shrinks. ``least``: lower
     bound of rates. domain is the likeliest one (null without words); copies is
     the rate rounded up or down by a hash of the id, so that its mean is the
-    rate. A null or empty text has no tokens and keeps rate 1, and so have all
-    texts if no row is labelled. Repeated rows each give a row.
+    rate. Columns of ``docs`` with one of these names give way. A null or empty text has no tokens and keeps rate 1, and so have all
+    texts if no row is labelled. Repeated rows each give a row. An empty table
+    gives none. Warns if targets are missed by over a thousandth.
     """
+    if set(docs.columns) & set(ADDED) - {domain}:
+        docs = docs.drop(*(set(ADDED) - {domain}))
     names, sample = labelled_sample(docs, labelled, domain)
     names = names or [""]
     spark = docs.sparkSession
@@ -164,7 +182,9 @@ def mix(docs: DataFrame, labelled: DataFrame, domain: str = "lang", targets: dic
 
     numbers = materialise(docs.mapInArrow(only, light), "posteriors")
     goal = None if targets is None else np.array([targets.get(d, 0.0) for d in names])
-    steps = fit_rates(numbers, k, goal, power, least)
+    steps, left = fit_rates(numbers, k, goal, power, least)
+    if left > MISSED:
+        warnings.warn(f"the targets are missed by up to {left:.2%} of all tokens", stacklevel=2)
 
     full = T.StructType([*schema.fields, T.StructField("rate", T.DoubleType())])
 

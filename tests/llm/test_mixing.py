@@ -56,3 +56,47 @@ def test_table(spark):
     goal = mixing.targets_of(natural, 0.7)
     total = np.sum([r.rate * r.n_tokens * np.array(r.posteriors) for r in rows], 0)
     assert np.allclose(total, goal, rtol=1e-3) and (goal >= natural - 1e-6).all()
+
+
+def test_whole_query_like_brute_force(spark):
+    """The same classifier and fit in plain Python: posteriors, rates and copies of every document."""
+    docs, labelled = corpus(spark)
+    out = mixing.mix(docs.withColumn("rate", F.lit("clash")).withColumn("copies", F.lit(0)), labelled, power=0.5).collect()
+    words = {}
+    for r in docs.filter("doc_id < 100").distinct().collect():
+        for w in r.text.split():
+            words.setdefault(w, {"a": 0, "b": 0})[r.lang] += 1
+    size = {d: sum(c[d] for c in words.values()) + 0.1 * 65536 for d in "ab"}
+    share = {w: {d: (c[d] + 0.1) / size[d] for d in "ab"} for w, c in words.items()}
+    tokens, own = [], []
+    for r in out:
+        ws = (r.text or "").split()
+        tokens.append(len(ws))
+        own.append([float(np.mean([share[w][d] / sum(share[w].values()) for w in ws])) if ws else 0.0 for d in "ab"])
+        assert r.n_tokens == len(ws) and np.allclose(r.posteriors, own[-1], atol=1e-6)
+    p, n = np.array(own), np.array(tokens)
+    natural = p.T @ n
+    want = mixing.targets_of(natural, 0.5)
+    # Plain projected gradient with small steps, run to the end.
+    rate = np.ones(len(n))
+    for _ in range(20_000):
+        rate = np.maximum(0, rate - 1e-5 * p @ (p.T @ (rate * n) - want))
+    assert np.allclose(p.T @ (rate * n), want, rtol=1e-4)
+    got = np.array([r.rate for r in out])
+    assert np.allclose(p.T @ (got * n), want, rtol=1e-3) and np.allclose(got, rate, atol=0.02)
+    assert abs(sum(r.copies for r in out) - got.sum()) < 3 * np.sqrt(len(out)) / 2
+
+
+def test_sample_does_not_depend_on_order(spark):
+    docs, labelled = corpus(spark)
+    a = mixing.labelled_sample(docs.repartition(1), labelled, "lang", sample=40)
+    b = mixing.labelled_sample(docs.unionByName(docs).repartition(9), labelled.unionByName(labelled), "lang", sample=40)
+    assert a == b and len(a[1]) == 40
+
+
+def test_targets_out_of_reach_are_told(spark):
+    docs, labelled = corpus(spark)
+    import pytest
+
+    with pytest.warns(UserWarning, match="missed"):
+        mixing.mix(docs, labelled, targets={"a": 10.0, "b": 9e6}, least=1.0)
