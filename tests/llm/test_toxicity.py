@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from marquee.llm import toxicity
 from marquee.llm.queries import op5_toxicity
@@ -48,3 +49,17 @@ def test_edge_tables(spark):
     assert len(got) == 5 and len({r.score for r in got}) == 1
     assert toxicity.scores(docs, labels.limit(0)).count() == 5
     assert toxicity.scores(docs.limit(0), labels).count() == 0
+
+
+def test_fit_takes_one_row_of_an_id_in_order(spark):
+    """However rows repeat and are dealt, the model is the same, and with it every score."""
+    rows = [(i, f"word{i % 7} fine text here {i}" + (" nastyword" if i % 4 == 0 else "")) for i in range(120)]
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(120)] * 2, "doc_id long, quality int, toxic int")
+    models = []
+    for parts in (1, 7):
+        docs = documents(spark, rows * 3 + [(0, "another text of the id"), (1, None)]).repartition(parts)
+        m = toxicity.fit_tables(docs, labels, per_class=20)
+        models.append((m.hashes.tolist(), m.weights.tolist(), m.intercept))
+    assert models[0] == models[1] and len(models[0][0]) > 0
+    out = toxicity.score(documents(spark, rows).withColumn("toxicity", F.lit("clash")), toxicity.Model(*map(np.array, models[0][:2]), models[0][2]))
+    assert out.columns.count("toxicity") == 1 and out.count() == 120
