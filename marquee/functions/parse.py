@@ -1,164 +1,126 @@
-"""Dates, times and prices in noisy text, with confidences (0 to 1).
-
-A family of patterns is a table of (family, pattern, groups); all matches of
-all patterns become one array of structs, of which the most confident is taken,
-ties by order. Everything is a native expression. Confidences follow the
-well-defined parts of the rules: a value's pattern, what it states outright,
-and whether it is plausible as of ``as_of``.
-"""
+"""Cleaning, correction and quality of noisy text, and single clock times."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.common import text
+from marquee.functions.forms import MONTHS, WEEKDAYS
 
-#: Names and patterns.
-MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
-_FULL, _SHORT = "|".join(MONTHS), "|".join(m[:3] for m in MONTHS)
-_TH = r"(?:st|nd|rd|th)?"
+#: Abbreviations written out.
 ABBREVIATIONS = {"St.": "Street", "Ave.": "Avenue", "Rd.": "Road", "Blvd.": "Boulevard", **{m[:3] + ".": m for m in MONTHS if m != "May"}, "Sept.": "September"}
-#: Patterns with the groups of month (name or number), day and year (0: none).
-DATE_PATTERNS = [
-    ("fullMonth", rf"(?i)\b({_FULL})\s+(\d{{1,2}}){_TH}\s*,?\s*(\d{{4}})\b", (1, 2, 3), 0.9),
-    ("fullMonth", rf"(?i)\b({_FULL})\s+(\d{{1,2}}){_TH}\b", (1, 2, 0), 0.9),
-    ("abbrMonth", rf"(?i)\b({_SHORT})\.?\s+(\d{{1,2}}){_TH}\s*,?\s*(\d{{4}})\b", (1, 2, 3), 0.8),
-    ("abbrMonth", rf"(?i)\b({_SHORT})\.?\s+(\d{{1,2}}){_TH}\b", (1, 2, 0), 0.8),
-    ("numeric", r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{4}|\d{2})\b", (1, 2, 3), 0.7),
-    ("ordinal", rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)\s+(?:of\s+)?({_FULL})\s*,?\s*(\d{{4}})?\b", (2, 1, 3), 0.85),
-]
-#: Patterns with the groups of hour, minute and period (0: none).
-TIME_PATTERNS = [
-    ("standard12", r"(?i)\b(\d{1,2}):?(\d{2})?\s*(AM|PM|a\.m\.|p\.m\.)(?![A-Za-z])", (1, 2, 3), 0.9),
-    ("military", r"\b([01]?\d|2[0-3]):([0-5]\d)(?::[0-5]\d)?\b", (1, 2, 0), 0.95),
-    ("doors", r"(?i)\b(?:doors?)\s*(?:open|at)?\s*(\d{1,2}):?(\d{2})?\s*(AM|PM)?\b", (1, 2, 3), 0.8),
-    ("show", r"(?i)\b(?:show|performance|concert|event|starts?)\s*(?:at|@)?\s*(\d{1,2}):?(\d{2})?\s*(AM|PM)?\b", (1, 2, 3), 0.85),
-    ("casual", r"(?i)(?:\b(?:around|about|approximately|circa)|~)\s*(\d{1,2}):?(\d{2})?\s*(AM|PM)?\b", (1, 2, 3), 0.7),
-    ("contextual", r"(?i)(?:\bat|@)\s*(\d{1,2}):?(\d{2})?\s*(AM|PM)\b", (1, 2, 3), 0.75),
-]
-#: Patterns with the groups of the lower and the upper price (0: the same).
-PRICE_PATTERNS = [
-    ("free", r"(?i)\b(free|no charge|no cost|complimentary|gratis)\b", None, 0.95),
-    ("single", r"\$(\d+(?:\.\d{2})?)\b", (1, 0), 0.9),
-    ("single", r"(?i)\b(\d+(?:\.\d{2})?)\s*(?:dollars?|bucks?)\b", (1, 0), 0.9),
-    ("ranges", r"\$(\d+(?:\.\d{2})?)\s*(?:[-–—]|to|through)\s*\$?(\d+(?:\.\d{2})?)", (1, 2), 0.85),
-]
-
-
-def basic_clean(x: Column) -> Column:
-    """Artefacts out, punctuation and times spaced alike. Of '/@&+~' and dashes other than '-' nothing is left."""
-    steps = [(r"\s+", " "), ("^ | $", ""), (r"[^\w\s.,!?:;'\"$%()-]", " "), (r"\s+([.,!?:;])", "$1"), (r"([.,!?:;])\s*", "$1 "), (r"\$\s+(\d)", r"\$$1"), (r"(\d)\s+\$([^$\d])", r"$1\$ $2"), (r"(\d+)\s*:\s*(\d+)", "$1:$2"), (r"[.,!?:;]{2,}", "."), (r"\s+", " "), ("^ | $", "")]
-    out = text(x)
+#: The steps of cleaning, in order. Of '/@&+~' and dashes other than '-' nothing is left, and "$25.50" becomes "$25. 50".
+CLEANING = [
+    (r"\s+", " "), ("^ | $", ""), (r"[^\w\s.,!?:;'\"$%()-]", " "), (r"\s+([.,!?:;])", "$1"), (r"([.,!?:;])\s*", "$1 "), (r"\$\s+(\d)", r"\$$1"), (r"(\d)\s+\$([^$\d])", r"$1\$ $2"),
+    (r"(\d+)\s*:\s*(\d+)", "$1:$2"), (r"[.,!?:;]{2,}", "."), (r"\s+", " "), ("^ | $", ""),
+]
+#: Words that are often misread, and what is meant; weekdays are misread with a 1 or a 7 for their Y.
+MISREAD = {
+    "TICKETSS": "TICKETS", "TICKE1S": "TICKETS", "ADMISSI0N": "ADMISSION", "D00RS": "DOORS", "D0ORS": "DOORS", "SH0W": "SHOW", "C0NCERT": "CONCERT", "PERP0RMANCE": "PERFORMANCE", "EVEN1": "EVENT", "EVEN7": "EVENT",
+    **{d[:-1].upper() + wrong: d.upper() for d in WEEKDAYS for wrong in "71"},
+}
+#: Forms that are often misread: times, prices, dates, and an I within, before and after capitals.
+MISREAD_FORMS = [
+    (r"(\d+)([Il1])([Il1])(\d+)", "$1:$4"), (r"\$(\d+)([Il1])(\d+)", r"\$$1.$3"), (r"([Il1])(\d+)([Il1])(\d+)", "$2/$4"), (r"([A-Z])([Il1])([A-Z])", "$1I$3"), (r"\b([Il1])([A-Z]{2,})\b", "I$2"), (r"\b([A-Z]{2,})([Il1])\b", "$1I"),
+]
+#: Characters put right by what stands around them; a dollar sign before I, l or 1 is lost.
+IN_CONTEXT = [
+    (r"(\d+)([Il1])([Il1])(\d+)\s*(AM|PM|am|pm)", "$1:$4 $5"), (r"\$([Il1])(\d+)", "$1$2"), (r"\$(\d+)([Il1])", r"\$$1$2"), (r"\$(\d+)([O])(\d*)", r"\$$10$3"), (r"\b([Il1])(/)(\d+)", "1$2$3"), (r"\b(\d+)(/)([Il1])", "$1$21"),
+    (r"\bA[Il1]{1,2}\b", "AM"), (r"\bP[Il1]{1,2}\b", "PM"),
+]
+#: Misspellings.
+TYPOS = {
+    "concret": "concert", "conert": "concert", "perfomance": "performance", "performace": "performance", "admisson": "admission", "admision": "admission", "tikets": "tickets", "tickts": "tickets", "ticets": "tickets",
+    "veune": "venue", "vene": "venue", "locaton": "location", "loction": "location", "staring": "starting", "begining": "beginning", "thearter": "theater", "threatre": "theatre",
+}
+#: Forms of texts read well and badly, and of missing spaces.
+GOOD = [r"\b\d{1,2}:\d{2}\s*(AM|PM|am|pm)\b", rf"\b({'|'.join(MONTHS)})\s+\d{{1,2}}\b", r"\$\d+(?:\.\d{2})?\b", rf"\b({'|'.join(WEEKDAYS)})\b"]
+BAD = [r"[Il1O0]{3,}", r"[^\w\s.,!?:;'\"$%()-]{3,}", r"\s{5,}", r"[A-Z]{1}[a-z]{1}[A-Z]{1}[a-z]{1}", r"\b\w{1,2}\b\s+\b\w{1,2}\b\s+\b\w{1,2}\b"]
+UNSPACED = [r"[A-Za-z]\d", r"\d[A-Za-z]", r"[A-Z][a-z]+[A-Z]", r"\$\d+[A-Za-z]"]
+#: Forms of phrases, by kind.
+PHRASES = {
+    "time": r"\b\d{1,2}:?\d{0,2}\s*(?:AM|PM|am|pm)\b[^.!?]*[.!?]?", "date": rf"(?i)\b(?:{'|'.join(MONTHS)}|\d{{1,2}}/\d{{1,2}})[^.!?]*[.!?]?", "price": r"(?i)\$\d+[^.!?]*[.!?]?|free[^.!?]*[.!?]?",
+    "venue": r"(?i)\b(?:at|@|venue|location)[^.!?]*[.!?]?",
+}
+
+
+def _steps(x: Column, steps: list[tuple[str, str]]) -> Column:
     for pattern, to in steps:
-        out = F.regexp_replace(out, pattern, to)
-    return out
-
-
-def normalize(x: Column) -> Column:
-    """AM and PM in capitals, FREE, and abbreviations written out."""
-    out = F.regexp_replace(F.regexp_replace(text(x), r"(?i)\bam\b", "AM"), r"(?i)\bpm\b", "PM")
-    out = F.regexp_replace(out, r"\b(free|Free|FREE)\b", "FREE")
-    for short, full in ABBREVIATIONS.items():
-        out = F.regexp_replace(out, rf"(?i)\b{short[:-1]}\.", full)
-    return F.regexp_replace(F.regexp_replace(out, r"\s+", " "), "^ | $", "")
-
-
-def _matches(x: Column, pattern: str, groups: tuple[int, ...]) -> Column:
-    """Array of structs g0, g1, ... with the groups of each match; an absent group is null."""
-    arrays = [F.regexp_extract_all(text(x), F.lit(pattern), g) if g else F.transform(F.regexp_extract_all(text(x), F.lit(pattern), 0), lambda _: F.lit("")) for g in groups]
-    zipped = F.arrays_zip(*(a.alias(f"g{i}") for i, a in enumerate(arrays)))
-    return F.transform(zipped, lambda m: F.struct(*(F.nullif(m[f"g{i}"], F.lit("")).alias(f"g{i}") for i in range(len(groups)))))
-
-
-def _clamp(x: Column) -> Column:
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 4)
-
-
-def _top(matches: list[Column], value: str) -> Column:
-    """The most confident match with a value, ties by order."""
-    every = F.filter(F.concat(*matches), lambda m: m[value].isNotNull())
-    best = F.array_max(F.transform(every, lambda m: m["confidence"]))
-    return F.get(F.filter(every, lambda m: m["confidence"] == best), 0)
+        x = F.regexp_replace(x, pattern, to)
+    return x
 
 
-def dates(x: Column, as_of: Column) -> Column:
-    """Struct of date, family and confidence of the best date, or null. Without a year the year of ``as_of`` is meant; days that the month lacks are none."""
-
-    def family(name: str, pattern: str, groups: tuple[int, int, int], base: float) -> Column:
-        def one(m: Column) -> Column:
-            month = F.try_to_number(m["g0"], F.lit("99")).cast("int") if name == "numeric" else F.array_position(F.array(*(F.lit(s[:3].lower()) for s in MONTHS)), F.lower(F.substring(m["g0"], 1, 3))).cast("int")
-            day = m["g1"].cast("int")
-            year = m["g2"].cast("int")
-            year = F.when(year.isNull(), F.year(as_of)).when(year < 50, 2000 + year).when(year < 100, 1900 + year).otherwise(year)
-            make = lambda mo, d: F.try_to_date(F.format_string("%04d-%02d-%02d", year, mo, d), "yyyy-MM-dd")
-            date = F.coalesce(make(month, day), make(day, month)) if name == "numeric" else make(month, day)
-            away = F.abs(F.datediff(date, as_of))
-            confidence = F.lit(base) + F.when(m["g2"].isNotNull(), 0.1).otherwise(0.0) + F.when(away <= 365, 0.1).when(away > 730, -0.2).otherwise(0.0) - F.when((date < as_of) & (away > 1), 0.2).otherwise(0.0)
-            return F.struct(date.alias("date"), F.lit(name).alias("family"), _clamp(confidence).alias("confidence"))
-
-        return F.transform(_matches(x, pattern, groups), one)
-
-    found = [family(*p) for p in DATE_PATTERNS]
-    lower = F.lower(text(x))
-    for words, days in ((r"\b(today|tonight)\b", 0), (r"\btomorrow\b", 1)):
-        row = F.struct(F.date_add(as_of, days).alias("date"), F.lit("relative").alias("family"), F.lit(1.0).alias("confidence"))
-        found.append(F.when(lower.rlike(words), F.array(row)).otherwise(F.array().cast("array<struct<date:date,family:string,confidence:double>>")))
-    return _top(found, "date")
-
-
-def hour24(hour: Column, period: Column) -> Column:
-    """12 AM is 0, 12 PM is 12; without a period the hour is as it is."""
-    return F.when(period == "AM", F.when(hour == 12, 0).otherwise(hour)).when(period == "PM", F.when(hour == 12, 12).otherwise(hour + 12)).otherwise(hour)
-
-
-def times(x: Column) -> Column:
-    """Struct of time (HH:mm:ss), family and confidence of the best time, or null. Doors and shows from 1 to 11 without a period are in the evening."""
-
-    def family(name: str, pattern: str, groups: tuple[int, int, int], base: float) -> Column:
-        def one(m: Column) -> Column:
-            period = F.upper(F.regexp_replace(m["g2"], r"\.", ""))
-            hour, minute = m["g0"].cast("int"), F.coalesce(m["g1"].cast("int"), F.lit(0))
-            meant = period if name == "military" else F.coalesce(period, F.when(hour.between(1, 11), "PM"))
-            full = hour24(hour, meant)
-            ok = (full <= 23) & (minute <= 59) & ((hour <= 12) | period.isNull())
-            stated = F.lit(0.1) if name == "military" else F.when(period.isNotNull(), 0.1).otherwise(-0.2)
-            confidence = F.lit(base) + stated + F.when(full.between(6, 23), 0.1).otherwise(-0.1) + F.when(minute.isin(0, 15, 30, 45), 0.05).otherwise(0.0)
-            return F.struct(F.when(ok, F.format_string("%02d:%02d:00", full, minute)).alias("time"), F.lit(name).alias("family"), _clamp(confidence).alias("confidence"))
-
-        return F.transform(_matches(x, pattern, groups), one)
-
-    return _top([family(*p) for p in TIME_PATTERNS], "time")
+def basic_clean(x: Column) -> Column:
+    """Artefacts out, punctuation and times spaced alike."""
+    return _steps(text(x), CLEANING)
 
 
-def price(x: Column) -> Column:
-    """Struct of least, most, free, family and confidence of the best price, or null. A range's ends must ascend."""
+def correct_in_context(x: Column) -> Column:
+    return _steps(text(x), IN_CONTEXT)
 
-    def family(name: str, pattern: str, groups: tuple[int, int] | None, base: float) -> Column:
-        if groups is None:
-            hit = F.struct(F.lit(0.0).alias("least"), F.lit(0.0).alias("most"), F.lit(True).alias("free"), F.lit(name).alias("family"), F.lit(base).alias("confidence"))
-            return F.when(text(x).rlike(pattern), F.array(hit)).otherwise(F.array().cast("array<struct<least:double,most:double,free:boolean,family:string,confidence:double>>"))
 
-        def one(m: Column) -> Column:
-            low = m["g0"].cast("double")
-            high = F.coalesce(m["g1"].cast("double"), low)
-            confidence = F.lit(base) + F.when(high > low, 0.1).otherwise(-0.2)
-            return F.struct(F.when(low <= high, low).alias("least"), high.alias("most"), (high == 0).alias("free"), F.lit(name).alias("family"), _clamp(confidence).alias("confidence"))
+def correct_artifacts(x: Column) -> Column:
+    """Words and forms that are often misread put right, then characters by what stands around them."""
+    return correct_in_context(_steps(_steps(text(x), [(rf"(?i)\b{wrong}\b", right) for wrong, right in MISREAD.items()]), MISREAD_FORMS))
 
-        return F.transform(_matches(x, pattern, groups), one)
 
-    return _top([family(*p) for p in PRICE_PATTERNS], "least")
+def corrections(x: Column) -> Column:
+    """The misread words that a text has, as struct(original, corrected), in the order of the table."""
+    return F.array_compact(F.array(*(F.when(text(x).rlike(rf"(?i)\b{w}\b"), F.struct(F.lit(w).alias("original"), F.lit(r).alias("corrected"))) for w, r in MISREAD.items())))
 
 
-def parse(x: Column, as_of: Column) -> Column:
-    """Struct of date, time, price (each a struct or null), confidence (.3, .25 and .2 over what is there) and issues."""
-    d, t, p = dates(x, as_of), times(x), price(x)
-    weight = lambda v, w: F.when(v.isNotNull(), w).otherwise(0.0)
-    part = lambda v, w: F.coalesce(v["confidence"], F.lit(0.0)) * w
-    total = weight(d, 0.3) + weight(t, 0.25) + weight(p, 0.2)
-    confidence = F.coalesce(F.try_divide(part(d, 0.3) + part(t, 0.25) + part(p, 0.2), total), F.lit(0.0))
-    issues = F.array_compact(F.array(F.when(d.isNull(), "missing_date"), F.when(t.isNull(), "missing_time"), F.when(p.isNull(), "missing_price"), F.when(confidence < 0.7, "low_confidence")))
-    return F.struct(d.alias("date"), t.alias("time"), p.alias("price"), F.round(confidence, 4).alias("confidence"), issues.alias("issues"))
+def normalize(x: Column) -> Column:
+    """AM and PM in capitals, FREE, and abbreviations written out."""
+    out = _steps(text(x), [(r"(?i)\bam\b", "AM"), (r"(?i)\bpm\b", "PM"), (r"\b(free|Free|FREE)\b", "FREE")])
+    return _steps(out, [(rf"(?i)\b{short[:-1]}\.", full) for short, full in ABBREVIATIONS.items()] + [(r"\s+", " "), ("^ | $", "")])
+
+
+def correct_spelling(x: Column) -> Column:
+    """Misspelt words put right, whatever punctuation they carry; words are joined by single spaces."""
+    table = F.create_map(*(F.lit(v) for pair in TYPOS.items() for v in pair))
+    bare = lambda w: F.lower(F.regexp_replace(w, r"\W", ""))
+    fixed = lambda w: F.when(F.contains(F.lower(w), bare(w)), F.concat(F.substring(w, F.lit(1), F.instr(F.lower(w), bare(w)) - 1), table[bare(w)], F.substring(w, F.instr(F.lower(w), bare(w)) + F.length(bare(w)), F.length(w)))).otherwise(w)
+    return F.array_join(F.transform(F.split(text(x), r"\s+"), lambda w: F.when(table[bare(w)].isNotNull(), fixed(w)).otherwise(w)), " ")
+
+
+def quality(x: Column) -> Column:
+    """Struct of score and issues of a text: forms read well and badly, missing spaces, length, variety of characters, length of words."""
+    t = text(x)
+    hits = lambda patterns: sum((t.rlike(p).cast("int") for p in patterns), F.lit(0))
+    good, bad, unspaced, size = hits(GOOD), hits(BAD), hits(UNSPACED), F.length(t)
+    score = F.greatest(F.lit(0.1), 1.0 + F.least(F.lit(0.3), good * 0.1) - F.least(F.lit(0.4), bad * 0.1) - F.least(F.lit(0.3), unspaced * 0.05))
+    variety = F.size(F.array_distinct(F.split(F.lower(t), ""))) / size
+    words = F.split(t, r"\s+")
+    mean = F.length(F.array_join(words, "")) / F.size(words)
+    mixed = t.rlike(r"\d") & t.rlike("[a-zA-Z]") & (F.contains(t, F.lit("$")) | t.rlike(r"\d+:\d+"))
+    by = [(size < 10, 0.8), (size > 1000, 0.9), (variety < 0.1, 0.7), (mean < 2, 0.8), (mean > 15, 0.8), (mixed, 1.1)]
+    for c, factor in by:
+        score = score * F.when(c, factor).otherwise(1.0)
+    names = [(good == 0, "no_recognizable_patterns"), (bad > 0, "ocr_artifacts_detected"), (unspaced > 0, "spacing_issues"), (size < 10, "very_short_text"), (size > 1000, "very_long_text"), (variety < 0.1, "low_character_diversity")]
+    names += [(mean < 2, "unusually_short_words"), (mean > 15, "unusually_long_words")]
+    issues = F.array_compact(F.array(*(F.when(c, n) for c, n in names)))
+    empty = F.struct(F.lit(0.0).alias("score"), F.array(F.lit("empty_text")).alias("issues"))
+    return F.when(t == "", empty).otherwise(F.struct(score.alias("score"), issues.alias("issues")))
+
+
+def key_phrases(x: Column) -> Column:
+    """Array of struct(type, phrase): phrases of times, dates, prices and venues, trimmed."""
+
+    def found(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text(x), F.lit(pattern), 0), lambda m: F.struct(F.lit(kind).alias("type"), F.trim(m).alias("phrase")))
+
+    return F.concat(*(found(k, p) for k, p in PHRASES.items()))
+
+
+def preprocess(rows: DataFrame, column: str = "text", spelling: bool = False) -> DataFrame:
+    """Adds cleaned, normalized, quality (struct) and corrections of ``column``; each step is a projection of its own, so no step is computed twice."""
+    out = rows.withColumn("_basic", basic_clean(F.col(column)))
+    out = out.withColumns({"cleaned": correct_artifacts(F.col("_basic")), "corrections": corrections(F.col("_basic"))}).drop("_basic")
+    out = out.withColumn("quality", quality(F.col("cleaned")))
+    if spelling:
+        out = out.withColumn("cleaned", correct_spelling(F.col("cleaned")))
+    return out.withColumn("normalized", normalize(F.col("cleaned")))
 
 
 def clock_time(x: Column, default: str = "19:00:00") -> Column:
