@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marquee.llm import flat
 from marquee.llm.skew import lookup
 from marquee.session import materialise
 
@@ -92,6 +93,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for x in batches:
         for at in range(0, x.num_rows, SLICE):
             yield from zip(*(c.to_pylist() for c in x.slice(at, SLICE).columns), strict=True)
+        flat.release()
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
