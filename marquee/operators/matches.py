@@ -57,7 +57,13 @@ def scan(texts: DataFrame, fields: Sequence[str] = ("date", "time", "price", "ve
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in _SCAN.split(", ")])
 
-    return texts.select(F.col("id").cast("long").alias("id"), text(F.col("text")).alias("text")).mapInArrow(find, _SCAN)
+    return spread(texts.select(F.col("id").cast("long").alias("id"), text(F.col("text")).alias("text"))).mapInArrow(find, _SCAN)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` on all cores: a table of few partitions is dealt out before work that is heavy for its size; a large one stays where it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def _g(i: int) -> Column:
@@ -222,11 +228,10 @@ def distinct(rows: DataFrame) -> DataFrame:
 
 def extract(texts: DataFrame, as_of: Column, fields: Sequence[str] = ("date", "time", "price", "venue")) -> DataFrame:
     """Distinct ranked matches of ``fields`` in ``texts`` (id, text)."""
-    # All rows of an id together first: the windows that follow need no other shuffle.
-    rows = scan(texts, fields).repartition("id")
-    every = {"date": lambda: dates(rows, as_of), "time": lambda: times(rows), "price": lambda: prices(rows), "venue": lambda: venues(rows)}
-    out = [_whole(every[f]()) for f in fields]
-    return distinct(functools.reduce(DataFrame.unionByName, out))
+    every = {"date": lambda r: dates(r, as_of), "time": times, "price": prices, "venue": venues}
+    out = functools.reduce(DataFrame.unionByName, [_whole(every[f](scan(texts, [f]))) for f in fields])
+    # All rows of an id together: the windows that follow need no other shuffle.
+    return distinct(out.repartition("id"))
 
 
 @dataclass(frozen=True)
