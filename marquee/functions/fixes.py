@@ -25,12 +25,11 @@ def fix_title(title: Column, venue: Column) -> Column:
 
 
 def fix_price(price: Column) -> Column:
-    """Struct of value, confidence and reason from a price as text: its first number, 0 for 'free', never negative, two decimals. Of a null, null."""
-    number = F.try_to_number(F.regexp_extract(text(price), r"[\d.]+", 0), F.lit("9999999999.9999")).cast("double")
+    """Struct of value, confidence and reason (number, free, none) from a price as text: its first number to two decimals, 0 for 'free', null otherwise. Of a null, null."""
+    number = F.regexp_extract(text(price), r"[\d.]+", 0).try_cast("double")
     free = F.contains(F.lower(price), F.lit("free"))
     value = F.when(number.isNotNull(), round_half_up(number * 100) / 100).when(free, 0.0)
-    rounded = number.isNotNull() & (round_half_up(number * 100) / 100 != number)
-    confidence = F.when(rounded, 80).when(number.isNotNull(), 80).when(free, 95).otherwise(50)
+    confidence = F.when(number.isNotNull(), 80).when(free, 95).otherwise(50)
     return F.when(price.isNotNull(), _fix(value, confidence, F.when(number.isNotNull(), "number").when(free, "free").otherwise("none")))
 
 

@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from marquee.plans import dedupe, events, fixing, layers, pages, parsing, quality, requests, scalars, venues  # noqa: F401
+    from marquee.plans import checking, dedupe, events, fixing, layers, pages, parsing, quality, requests, scalars, venues  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
