@@ -63,9 +63,9 @@ def composite_key(*parts: Column) -> Column:
     return F.concat_ws("|", *(F.nullif(fold(p), F.lit("")) for p in parts))
 
 
-def clean_venue(x: Column) -> Column:
-    """Without @ and &, single-spaced, without a leading 'the'."""
-    return F.trim(F.regexp_replace(squeeze(F.regexp_replace(text(x), "[@&]", "")), "(?i)^the +", ""))
+def capitalized(x: Column) -> Column:
+    """The first letter of each word in upper case, the rest as it is."""
+    return F.array_join(F.transform(F.split(text(x), r"(?<=\s)|(?=\s)"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), "")
 
 
 def page_title(x: Column) -> Column:

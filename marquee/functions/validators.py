@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marquee.functions.common import fold
-
 
 def _is(x: Column) -> Column:
     return F.coalesce(x, F.lit(False))
@@ -54,9 +52,16 @@ def upcoming(day: Column, as_of: Column) -> Column:
 
 
 def descriptive(x: Column) -> Column:
-    """Eight words or more, letters at least 0.6 and special characters at most 0.3 of the text, not short in capitals alone."""
+    """Eight words or more, six tenths of it letters, at most three tenths digits, $ and colons, and not under ten words in capitals alone."""
     size = F.greatest(F.length(x), F.lit(1))
     letters = F.length(F.regexp_replace(x, "[^A-Za-z]", "")) / size
-    special = F.length(F.regexp_replace(x, r"[A-Za-z0-9\s]", "")) / size
-    words = F.size(F.split(fold(x), " "))
-    return _is((words >= 8) & (letters >= 0.6) & (special <= 0.3) & ~((x == F.upper(x)) & (F.length(x) < 100)))
+    special = F.length(F.regexp_replace(x, r"[^\d$:]", "")) / size
+    words = F.size(F.split(x, r"\s+"))
+    return _is((words >= 8) & (letters >= 0.6) & (special <= 0.3) & ~((x == F.upper(x)) & (words < 10)))
+
+
+def flyer_title(x: Column, noise: list[str]) -> Column:
+    """3 to 120 characters without a word of ``noise``, three letters in a row, over four tenths of it letters."""
+    letters = F.length(F.regexp_replace(x, "[^a-zA-Z]", "")) / F.length(x)
+    clean = ~F.exists(F.array(*map(F.lit, noise)), lambda w: F.contains(F.lower(x), w)) if noise else F.lit(True)
+    return _is(F.length(x).between(3, 120) & clean & x.rlike("[a-zA-Z]{3,}") & (letters > 0.4))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.functions.common import messages, squeeze, text
+from marquee.functions.common import contains_any, messages, squeeze, text
+from marquee.functions.validators import valid_url
 
 #: Categories of events, and required fields.
 CATEGORIES = ["Music", "Festivals", "Food Events", "Sports/Games", "Comedy Shows", "Art Shows", "Bars", "Nightclubs"]
@@ -78,20 +81,138 @@ def venue_stats(events: DataFrame, most: int = 30) -> DataFrame:
     return named.groupBy("venue").agg(F.count("*").alias("events"), last.alias("_last")).select("venue", "events", F.col("_last.a").alias("address")).orderBy(F.col("events").desc(), "venue").limit(most)
 
 
-def image_audit(listing: DataFrame) -> DataFrame:
-    """Per collection, from object paths collection/event/file: events, with image and thumbnail, either alone, neither, and batches of 500."""
+#: Names of a full image and of a thumbnail.
+IMAGE_FILES, THUMBNAIL_FILES = ["event_image.png", "event_image.jpg"], ["event_thumbnail.png", "event_thumbnail.jpg"]
+
+
+def event_files(listing: DataFrame) -> DataFrame:
+    """Per collection and event, from object paths collection/event/file (and size, ord where there): image, thumb, and the sizes seen last. Paths of fewer parts are dropped; the third part is the file."""
     parts = F.split("path", "/")
-    files = listing.filter(F.size(parts) >= 3).select(parts[0].alias("collection"), parts[1].alias("event_id"), F.element_at(parts, -1).alias("file"))
-    thumb = F.contains("file", F.lit("thumb"))
-    image = F.col("file").rlike(r"(?i)\.(png|jpg|jpeg)$") & ~thumb
-    each = files.groupBy("collection", "event_id").agg(F.bool_or(image).alias("image"), F.bool_or(thumb).alias("thumb"))
+    column = lambda c: F.col(c) if c in listing.columns else F.lit(None).cast("long")
+    files = listing.filter(F.size(parts) >= 3).select(parts[0].alias("collection"), parts[1].alias("event_id"), parts[2].alias("file"), column("size").alias("size"), column("ord").alias("ord"))
+    image, thumb = F.col("file").isin(IMAGE_FILES), F.col("file").isin(THUMBNAIL_FILES)
+    last = lambda c: F.max_by(F.when(c, F.col("size")), F.when(c, F.col("ord")))
+    return files.groupBy("collection", "event_id").agg(F.bool_or(image).alias("image"), F.bool_or(thumb).alias("thumb"), last(image).alias("image_size"), last(thumb).alias("thumbnail_size"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"))
+
+
+def image_audit(listing: DataFrame) -> DataFrame:
+    """Per collection: events, with image and thumbnail, either alone, neither, and batches of 500 of those with a thumbnail alone."""
     count = F.count_if
-    out = each.groupBy("collection").agg(
+    out = event_files(listing).groupBy("collection").agg(
         F.count("*").alias("events"), count(F.col("image") & F.col("thumb")).alias("both"), count(F.col("image") & ~F.col("thumb")).alias("image_only"), count(~F.col("image") & F.col("thumb")).alias("thumbnail_only"), count(~F.col("image") & ~F.col("thumb")).alias("neither")
     )
     return out.withColumn("batches", F.ceil(F.col("thumbnail_only") / 500))
 
 
+def full_scan(listing: DataFrame, examples: int = 5) -> DataFrame:
+    """Per collection: events, with images, with thumbnails, needing thumbnails, their mean image size, and the first ``examples`` of them by ``ord``."""
+    need = F.col("image") & ~F.col("thumb")
+    rank = Window.partitionBy("collection", need).orderBy("first_ord", "event_id")
+    each = event_files(listing).withColumn("_r", F.row_number().over(rank))
+    shown = F.array_sort(F.collect_list(F.when(need & (F.col("_r") <= examples), F.struct("_r", "event_id"))))
+    return each.groupBy("collection").agg(
+        F.count("*").alias("events"), F.count_if("image").alias("with_images"), F.count_if("thumb").alias("with_thumbnails"), F.count_if(need).alias("needing_thumbnails"), F.avg(F.when(need, F.col("image_size"))).alias("mean_image_size"),
+        F.array_join(F.transform(shown, lambda x: x["event_id"]), ",").alias("examples"),
+    )
+
+
+def needing_thumbnails(listing: DataFrame) -> DataFrame:
+    return event_files(listing).filter("image and not thumb").select("collection", "event_id")
+
+
+def needing_images(listing: DataFrame, most: int | None = None) -> DataFrame:
+    """Events with a thumbnail alone; the ``most`` seen last, where it is given."""
+    rows = event_files(listing).filter("thumb and not image").select("collection", "event_id", "last_ord")
+    return rows if most is None else rows.orderBy(F.col("last_ord").desc(), "event_id").limit(most)
+
+
+def first_files(listing: DataFrame, most: int = 50) -> DataFrame:
+    """Events among the first ``most`` objects of a listing (in order of ``ord``) with their files."""
+    parts = F.split("path", "/")
+    rows = listing.orderBy("ord").limit(most).filter(F.size(parts) >= 3)
+    return rows.groupBy(parts[1].alias("event_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", parts[2].alias("f")))), lambda x: x["f"]), ",").alias("files"))
+
+
+def venue_regions(stats: DataFrame) -> DataFrame:
+    """``venue_stats`` with in_austin, in_bay_area (a venue may be in both) and elsewhere, by its address."""
+    a = F.lower(F.coalesce("address", F.lit("Address not found")))
+    austin, bay = contains_any(a, ["austin", ", tx"]), contains_any(a, ["san francisco", "oakland", "berkeley", ", ca"])
+    return stats.withColumns({"in_austin": austin, "in_bay_area": bay, "elsewhere": ~austin & ~bay})
+
+
+def repeat_copies(repeated: DataFrame) -> DataFrame:
+    """Rows of ``repeats`` as events of their own: date and start moved to repeat_date, the end as long after as before, original_id, is_repeat; event_id goes."""
+    shift = F.datediff("repeat_date", F.to_date("startDateTimestamp"))
+    moved = lambda c: F.col(c) + F.make_dt_interval(shift)
+    out = repeated.withColumns({"original_id": F.coalesce(F.col("event_id").cast("string"), F.lit("unknown")), "is_repeat": F.lit(True), "date": F.col("repeat_date").cast("string")})
+    if "endDateTimestamp" in repeated.columns:
+        out = out.withColumn("endDateTimestamp", moved("endDateTimestamp"))
+    return out.withColumn("startDateTimestamp", moved("startDateTimestamp")).drop("event_id", "repeat_date")
+
+
+def specific_dates(x: Column) -> Column:
+    """Dates of a comma list; null where one of them is none."""
+    days = F.transform(F.split(x, ","), lambda d: F.try_to_date(F.trim(d), "yyyy-MM-dd"))
+    return F.when(~F.exists(days, lambda d: d.isNull()), days)
+
+
+def may_repeat(user: Column, business_user: Column, created_by: Column) -> Column:
+    return F.coalesce((business_user == user) | (created_by == user), F.lit(False))
+
+
+def found_in(ids: DataFrame, stored: DataFrame) -> DataFrame:
+    """``ids`` (event_id) with found_in: the first collection by ``source_rank`` of ``stored`` that has the id, or null."""
+    first = stored.groupBy("event_id").agg(F.min(F.struct("source_rank", "collection"))["collection"].alias("found_in"))
+    return ids.join(first, "event_id", "left")
+
+
+def refreshed(events: DataFrame, as_of: str) -> DataFrame:
+    """Events dated from a day before ``as_of`` on, with refreshed_at."""
+    since = F.date_add(F.lit(as_of).cast("date"), -1).cast("string")
+    return events.filter(F.col("date") >= since).withColumn("refreshed_at", F.lit(as_of))
+
+
+def backfilled(events: DataFrame) -> DataFrame:
+    """startDateTimestamp from the date where it is missing; free only where it says true or 1."""
+    return events.withColumns({"startDateTimestamp": F.coalesce("startDateTimestamp", F.try_to_timestamp("date")), "free": F.coalesce(F.lower(F.col("free").cast("string")).isin("true", "1"), F.lit(False))})
+
+
+def _given(events: DataFrame, name: str, default: str) -> Column:
+    return F.coalesce(F.nullif(F.col(name).cast("string"), F.lit("")), F.lit(default)) if name in events.columns else F.lit(default)
+
+
+def legacy(events: DataFrame) -> DataFrame:
+    """The older form: rawLocation for the address, defaults for what is missing, the category Community where there is none."""
+    flag = lambda f: F.coalesce(F.col(f).cast("boolean"), F.lit(False)) if f in events.columns else F.lit(False)
+    column = lambda f, t="string": F.col(f) if f in events.columns else F.lit(None).cast(t)
+    images = F.coalesce(column("imageUrls", "array<string>"), F.when(F.coalesce(column("imageUrl"), F.lit("")) != "", F.array(column("imageUrl"))), F.array().cast("array<string>"))
+    return events.select(
+        *(c for c in ("event_id",) if c in events.columns), _given(events, "title", "Event Title TBD").alias("title"), _given(events, "description", "Event details to be announced.").alias("description"), _given(events, "venue", "Venue TBD").alias("venue"),
+        _given(events, "address", "Address TBD").alias("rawLocation"), column("date").alias("date"), _given(events, "startTime", "19:00:00").alias("startTime"), column("imageUrl").alias("imageUrl"), images.alias("imageUrls"), flag("free").alias("free"), flag("soldOut").alias("soldOut"),
+        F.coalesce(column("categories", "array<string>"), F.array(F.lit("Community"))).alias("categories"),
+    )
+
+
+def form(events: DataFrame) -> DataFrame:
+    """What a form shows: empty texts and lists for what is missing, 19:00:00 for the start, flags as booleans, a ticket link from either name."""
+    truthy = lambda *names: functools.reduce(lambda a, b: a | b, [F.coalesce(F.col(n).cast("boolean"), F.lit(False)) for n in names if n in events.columns], F.lit(False))
+    lists = lambda n: F.coalesce(F.col(n), F.array().cast("array<string>")) if n in events.columns else F.array().cast("array<string>")
+    links = [F.nullif(F.col(n), F.lit("")) for n in ("ticketsLink", "ticketUrl") if n in events.columns]
+    return events.select(
+        *(c for c in ("event_id",) if c in events.columns), *(_given(events, n, "").alias(n) for n in ("title", "venue", "address", "description", "date", "endTime", "imageUrl")), _given(events, "startTime", "19:00:00").alias("startTime"), lists("imageUrls").alias("imageUrls"),
+        lists("categories").alias("categories"), truthy("free").alias("free"), truthy("soldOut", "soldOutStatus").alias("soldOut"), F.coalesce(*links, F.lit("")).alias("ticketsLink"),
+    )
+
+
+def compatibility(events: DataFrame) -> DataFrame:
+    """Adds errors and warnings on the forms of times, dates and image URLs; the evident forms are tested (two digits each)."""
+    c = F.col
+    given = lambda f: F.coalesce(c(f), F.lit("")) != ""
+    errors = messages([(given(f) & ~c(f).rlike(r"^\d{2}:\d{2}:\d{2}$"), f"{f} must be in HH:MM:SS format") for f in ("startTime", "endTime")] + [(given("date") & ~c("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), "date must be in YYYY-MM-DD format"), (F.contains("startTime", F.lit("Z")), "startTime contains UTC indicator (Z)")])
+    warnings = messages([(given("imageUrl") & ~valid_url(c("imageUrl")), "imageUrl may not be a valid URL"), (F.contains("date", F.lit("T")), "date contains time component")])
+    return events.withColumns({"errors": errors, "warnings": warnings})
+
+
 def canonical(events: DataFrame, as_of: str) -> DataFrame:
     """The stored form of an event: defaults for what is missing, city from the address, flags as booleans."""
     get = lambda f: F.col(f).cast("string") if f in events.columns else F.lit(None).cast("string")

@@ -43,8 +43,8 @@ def overall(log: DataFrame) -> DataFrame:
 
 
 def next_proxy(proxies: DataFrame, most_failures: int = 3) -> DataFrame:
-    """The proxy to use: fewest failures, then fastest (missing last), then first; failed ones only if all have failed."""
-    order = [(F.col("failures") >= most_failures).cast("int"), F.col("failures"), F.coalesce("response_time", F.lit(999_999)), F.col("ord")]
+    """The proxy to use: fewest failures, then fastest (missing or 0 last), then first; failed ones only if all have failed."""
+    order = [(F.col("failures") >= most_failures).cast("int"), F.col("failures"), F.coalesce(F.nullif("response_time", F.lit(0)), F.lit(999_999)), F.col("ord")]
     return proxies.orderBy(*order).limit(1)
 
 
@@ -53,6 +53,13 @@ def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count("*").alias("entries"), F.sum("hits").alias("hits"))
 
 
+def hit_rate(log: DataFrame) -> DataFrame:
+    """hits, misses and the share of hits in percent as text, '0%' without lookups; rows: hit (boolean)."""
+    out = log.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    total = F.col("hits") + F.col("misses")
+    return out.withColumn("hit_rate", F.when(total > 0, F.format_string("%.2f%%", F.col("hits") * 100 / total)).otherwise("0%"))
+
+
 def fresh(cache: DataFrame, now_ms: int, ttl_ms: int) -> DataFrame:
     """Entries younger than the time to live."""
     return cache.filter(F.col("timestamp") > now_ms - ttl_ms)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions.common import contains_any, or_else, text
+from marquee.functions.common import contains_any, first_match, or_else, text
 from marquee.functions.text import similarity, venue_key
 
 MOST_VENUES = 10_000
@@ -61,11 +61,37 @@ def better_address(address: Column, venue: Column, city: Column, known: Column)
 
 
 #: Phrases of pages that block a visitor.
-BLOCKING = ["access denied", "please verify you are human", "checking your browser", "captcha", "unusual traffic", "blocked"]
+BLOCKING = [
+    "access denied", "you have been blocked", "please complete the security check", "cloudflare security", "are you a robot?", "suspicious activity detected", "403 forbidden", "rate limit exceeded", "too many requests",
+    "please verify you are human", "attention required! cloudflare", "checking your browser before accessing", "just a moment please", "security check in progress",
+]
 
 
 def looks_blocked(content: Column, title: Column) -> Column:
-    return contains_any(F.lower(F.concat_ws(" ", title, content)), BLOCKING)
+    """A blocking phrase in content or title, or words of such pages together; never a page of the ticket site that names events or tickets."""
+    c, t = F.lower(text(content)), F.lower(text(title))
+    has = lambda x, w: F.contains(x, F.lit(w))
+    together = (has(c, "cloudflare") & has(c, "security")) | (has(c, "checking") & has(c, "browser")) | has(t, "access denied") | has(t, "forbidden")
+    known = has(c, "eventbrite") & (has(c, "event") | has(c, "ticket"))
+    return (contains_any(c, BLOCKING) | contains_any(t, BLOCKING) | together) & ~known
+
+
+#: Hosts of sites, in order.
+SITE_HOSTS = [
+    (r"eventbrite\.", "eventbrite"), (r"ticketmaster\.", "ticketmaster"), (r"(facebook\.|fb\.|m\.facebook\.)", "facebook"), *((rf"{s}\.", s) for s in ("meetup", "do512", "sfstation", "funcheap", "universe", "brownpapertickets", "bandsintown", "songkick", "foursquare", "yelp", "timeout", "eventful")),
+]
+#: Words of hosts (h) and paths (p) and the kind of site, in order.
+SITE_KINDS = [
+    ("h", ["eventbrite"], "eventbrite"), ("h", ["ticketmaster"], "ticketmaster"), ("h", ["facebook", "fb.me"], "facebook"), *(("h", [s], s) for s in ("meetup", "do512", "sfstation", "funcheap")), ("h", ["getty.edu"], "getty"), ("h", ["tickets."], "ticketing"),
+    ("p", ["ticket", "/buy"], "ticketing"), ("h", ["seatgeek", "stubhub"], "ticketing"),
+]
+
+
+def site_kind(url: Column) -> Column:
+    """Kind of site by words of host and path, in order, else 'generic'."""
+    host, path = (F.lower(F.regexp_extract(text(url), p, 1)) for p in (r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"))
+    rules = [(contains_any(host if where == "h" else path, words), F.lit(kind)) for where, words, kind in SITE_KINDS]
+    return first_match([*rules, (F.contains(host, F.lit("vivid")) & F.contains(host, F.lit("seats")), F.lit("ticketing"))], F.lit("generic"))
 
 
 def site_type(url: Column, hosts: list[tuple[str, str]]) -> Column:

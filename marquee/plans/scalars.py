@@ -26,7 +26,7 @@ TEXTS = [
       THEN substr(clean, 1, 40 - instr(reverse(substr(clean, 1, 40)), ' ')) || '...' ELSE substr(clean, 1, 40) || '...' END AS short,
     CAST(len(regexp_extract_all(x, '\\d+(?:\\.\\d+)?')) AS INT) AS n_numbers, array_to_string(regexp_extract_all(x, '(?i)https?://[^\\s<>"{{}}|\\\\^`\\[\\]]+'), ' ') AS urls,
     array_to_string(regexp_extract_all(x, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{{2,}}\\b'), ' ') AS emails,
-    array_to_string(list_distinct(list_concat(list_concat(regexp_extract_all(x, '\\(\\d{{3}}\\)\\s*\\d{{3}}-\\d{{4}}'), regexp_extract_all(x, '\\d{{3}}[-.\\s]\\d{{3}}[-.\\s]\\d{{4}}')), regexp_extract_all(x, '\\+1[\\s-]?\\(\\d{{3}}\\)[\\s-]?\\d{{3}}[\\s-]?\\d{{4}}'))), '') IS NOT NULL AS has_phone_list,
+    array_to_string(list_sort(list_distinct(list_concat(list_concat(regexp_extract_all(x, '\\(\\d{{3}}\\)\\s*\\d{{3}}-\\d{{4}}'), regexp_extract_all(x, '\\d{{3}}[-.\\s]\\d{{3}}[-.\\s]\\d{{4}}')), regexp_extract_all(x, '\\+1[\\s-]?\\(\\d{{3}}\\)[\\s-]?\\d{{3}}[\\s-]?\\d{{4}}')))), ' / ') AS phones,
     regexp_replace(x, '^["'']|["'']$', '', 'g') AS unquoted, lower(trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS folded,
     trim(regexp_replace(regexp_replace(lower(x), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS venue_key,
     CAST(round(1000 * (1 - levenshtein(clean, 'The Observatory') / greatest(length(clean), 15.0))) AS BIGINT) AS likeness FROM c""".replace("\\\\", "\\"),
@@ -36,7 +36,7 @@ def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("x")
     return t.select(
         "id", text.clean_text(x).alias("clean"), text.truncate_text(x, 40).alias("short"), F.size(text.extract_numbers(x)).alias("n_numbers"), F.array_join(text.extract_urls(x), " ").alias("urls"),
-        F.array_join(text.extract_emails(x), " ").alias("emails"), text.extract_phones(x).isNotNull().alias("has_phone_list"), text.strip_quotes(x).alias("unquoted"), fold(x).alias("folded"), text.venue_key(x).alias("venue_key"),
+        F.array_join(text.extract_emails(x), " ").alias("emails"), F.array_join(F.array_sort(text.extract_phones(x)), " / ").alias("phones"), text.strip_quotes(x).alias("unquoted"), fold(x).alias("folded"), text.venue_key(x).alias("venue_key"),
         F.round(1000 * text.similarity(text.clean_text(x), F.lit("The Observatory"))).cast("long").alias("likeness"),
     )
 

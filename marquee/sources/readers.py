@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marquee.functions.addresses import looks_like_address
 from marquee.functions.text import venue_key
 
 
@@ -29,19 +30,20 @@ def venue_list(files: DataFrame, look_ahead: int = 4) -> DataFrame:
     """Venues from lists of lines 'Name | http...' with an address in the next lines, from (source, content).
 
     The search ends at the next venue; blank lines count as lines. A later
-    venue of the same name replaces an earlier one.
+    venue of the same name replaces an earlier one, and keeps its place.
     """
     lines = files.select("source", F.posexplode(F.split(F.regexp_replace("content", "^\\x{FEFF}", ""), "\n")).alias("ord", "line")).withColumn("line", F.trim(F.regexp_replace("line", "\r", "")))
     name = F.trim(F.regexp_extract("line", r"^([^|]+)\s*\|\s*https?://", 1))
-    address = F.col("line").rlike(r"(?i)\b(street|st|avenue|ave|road|rd|boulevard|blvd|lane|ln|drive|dr|way|place|pl|court|ct|highway|hwy)\b") & F.col("line").rlike(r"\d") & F.col("line").rlike(r"\b[A-Z]{2}\b|\b\d{5}\b") & ~F.col("line").rlike("https?://")
+    address = looks_like_address(F.col("line"))
     stop = F.contains("line", F.lit("|")) & F.contains("line", F.lit("http"))
     w = Window.partitionBy("source").orderBy("ord").rowsBetween(1, look_ahead)
     marked = lines.withColumns({"name": name, "what": F.struct(stop.alias("stop"), F.when(address, F.col("line")).alias("address"))})
     ahead = marked.withColumn("ahead", F.collect_list("what").over(w)).filter("name <> ''")
     hit = F.get(F.filter("ahead", lambda x: x["stop"] | x["address"].isNotNull()), 0)
     found = ahead.withColumn("address", F.when(~hit["stop"], hit["address"])).filter("address is not null").withColumn("key", venue_key(F.col("name")))
-    last = found.groupBy("key").agg(F.max(F.struct("source", "ord", "name", "address")).alias("v"))
-    return last.select("key", "v.name", "v.address", "v.source", "v.ord")
+    # The last one's values, in the place of the first: partial lookups go by place.
+    last = found.groupBy("key").agg(F.max(F.struct("source", "ord", "name", "address")).alias("v"), F.min(F.struct("source", "ord")).alias("at"))
+    return last.select("key", "v.name", "v.address", "at.source", "at.ord")
 
 
 def url_list(lines: DataFrame) -> DataFrame:

@@ -27,5 +27,12 @@ def append_routed(events: DataFrame, path: str) -> None:
     events.write.mode("append").partitionBy("collection").parquet(path)
 
 
+def csv_lines(rows: DataFrame) -> DataFrame:
+    """Rows as lines of CSV (line): texts with a comma in double quotes, nothing escaped, nulls empty."""
+    cell = lambda c, t: F.coalesce(F.when(F.contains(F.col(c), F.lit(",")), F.concat(F.lit('"'), F.col(c), F.lit('"'))).otherwise(F.col(c)), F.lit("")) if t == "string" else F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return rows.select(F.concat_ws(",", *(cell(c, t) for c, t in rows.dtypes)).alias("line"))
+
+
 def csv_report(rows: DataFrame, path: str) -> None:
-    rows.write.csv(path, header=True)
+    """``csv_lines`` with the columns' names as the first line of each file."""
+    csv_lines(rows).withColumnRenamed("line", ",".join(rows.columns)).write.option("header", True).option("quote", "").csv(path, sep="\x01")

@@ -148,7 +148,7 @@ def test_categories(spark):
 
 def test_texts(spark):
     assert one(spark, "5125550199", text.format_phone) == "(512) 555-0199" and one(spark, "15125550199", text.format_phone) == "+1 (512) 555-0199"
-    assert one(spark, "The Blue @ Note", text.clean_venue) == "Blue Note"
+    assert one(spark, " @ The Blue  Note", venues.clean_name) == "Blue Note" and one(spark, "rock 'n roll o'neil", text.capitalized) == "Rock 'n Roll O'neil"
     assert one(spark, "12 Main Oakland CA", places.ensure_comma) == "12 Main, Oakland CA" and one(spark, "Here", places.ensure_comma) == "Here, Location TBD"
 
 
