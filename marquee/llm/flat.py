@@ -98,6 +98,18 @@ def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0xD6E8FEB86659FD93) + (b ^ (b >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F) + np.uint64(0x632BE59BD9B4E019))
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Bytes by plane, compressed."""
+    width = values.dtype.itemsize
+    return pa.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, width).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, n: int, dtype: type) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    plain = pa.decompress(data, decompressed_size=n * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(width, n).T).view(dtype).reshape(n)
+
+
 @functools.cache
 def _libc() -> ctypes.CDLL | None:
     try:

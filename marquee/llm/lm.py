@@ -41,18 +41,6 @@ _COUNTS = "chunk long, shard int, kind int, n long, keys binary, trained binary,
 _REPLY = "chunk long, shard int, kind int, n long, trained binary, held binary, tokens long, types long, held_tokens long, held_types long"
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Bytes by plane, compressed."""
-    width = values.dtype.itemsize
-    return pa.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, width).T.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(data: bytes, n: int, dtype: type) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    plain = pa.decompress(data, decompressed_size=n * width, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(width, n).T).view(dtype).reshape(n)
-
-
 def _sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes with an end after each text, the hash before each, and where each text starts."""
     words, counts = [], []
@@ -106,7 +94,7 @@ def _count(shards: int):
                 a, b = edges[shard : shard + 2]
                 if a < b:
                     deltas = np.diff(keys[a:b], prepend=np.uint64(0))
-                    for k, v in zip(rows, (key[0].as_py(), shard, kind, b - a, _pack(deltas), _pack(trained[a:b]), _pack(held[a:b])), strict=True):
+                    for k, v in zip(rows, (key[0].as_py(), shard, kind, b - a, flat.pack(deltas), flat.pack(trained[a:b]), flat.pack(held[a:b])), strict=True):
                         rows[k].append(v)
         return pa.table(rows, schema=pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("trained", pa.binary()), ("held", pa.binary())]))
 
@@ -120,17 +108,17 @@ def _total(key: tuple, table: pa.Table) -> pa.Table:
         rows = [r for r in table.to_pylist() if r["kind"] == kind]
         if not rows:
             continue
-        keys = np.concatenate([np.cumsum(_unpack(r["keys"], r["n"], np.uint64)) for r in rows])
+        keys = np.concatenate([np.cumsum(flat.unpack(r["keys"], r["n"], np.uint64)) for r in rows])
         keys, place = np.unique(keys, return_inverse=True)
         sums = []
         for what in ("trained", "held"):
-            each = np.concatenate([_unpack(r[what], r["n"], np.uint32) for r in rows])
+            each = np.concatenate([flat.unpack(r[what], r["n"], np.uint32) for r in rows])
             sums.append(np.bincount(place, each, len(keys)).astype(np.uint64))
         at = 0
         for r in rows:
             own = place[at : at + r["n"]]
             at += r["n"]
-            out.append((r["chunk"], shard, kind, r["n"], _pack(sums[0][own]), _pack(sums[1][own]), 0, 0, 0, 0))
+            out.append((r["chunk"], shard, kind, r["n"], flat.pack(sums[0][own]), flat.pack(sums[1][own]), 0, 0, 0, 0))
         if kind == 0:
             rest = sums[0] - sums[1]
             out.append((-1, shard, kind, 0, b"", b"", int(sums[0].sum()), int((sums[0] > 0).sum()), int(rest.sum()), int((rest > 0).sum())))
@@ -154,7 +142,7 @@ class _Counts:
         self.of = {}
         for kind, what in enumerate(("word", "pair")):
             for name in ("trained", "held"):
-                parts = [_unpack(r[name], r["n"], np.uint64) for r in sorted(found[kind], key=lambda r: r["shard"])]
+                parts = [flat.unpack(r[name], r["n"], np.uint64) for r in sorted(found[kind], key=lambda r: r["shard"])]
                 self.of[what, name] = np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
 
     def events(self, rest: bool, starts: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
