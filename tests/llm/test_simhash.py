@@ -19,7 +19,7 @@ def brute_fingerprint(text: str | None, shingle: int) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
-def brute_groups(fps: dict[int, int], distance: int) -> dict[int, int]:
+def brute_groups(fps: dict, distance: int | None, near=None) -> dict:
     root = {d: d for d in fps}
 
     def find(x: int) -> int:
@@ -30,7 +30,7 @@ def brute_groups(fps: dict[int, int], distance: int) -> dict[int, int]:
     ids = sorted(fps)
     for i, a in enumerate(ids):
         for b in ids[:i]:
-            if (fps[a] ^ fps[b]).bit_count() <= distance:
+            if near(fps[a], fps[b]) if near else (fps[a] ^ fps[b]).bit_count() <= distance:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {d: find(d) for d in ids}
