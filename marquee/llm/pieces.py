@@ -1,6 +1,8 @@
 """SentencePiece encoding and decoding with a unigram model.
 
-The pieces with their log scores are read from a model file. They form a
+The pieces are read from a model file with their log scores. A file of a unigram
+model has them; one of merges has ranks, from which they follow by the law of
+Zipf and Mandelbrot (``log_scores``), as no tokenizer is trained here. They form a
 double-array trie; encoding finds every piece at every place of a batch of
 texts by walking the trie for all places at once, and the best segmentation by
 Viterbi, for all segments of the batch at once. A character that is no piece
@@ -15,6 +17,7 @@ As in the format itself, a U+2581 in the text decodes to a space.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -77,6 +80,29 @@ def read_model(data: bytes) -> list[tuple[str, float, int]]:
     return out
 
 
+#: The shift of Mandelbrot's form of Zipf's law: frequencies go as 1 / (rank + SHIFT).
+SHIFT = 2.7
+UNIGRAM = 1
+
+
+def model_type(data: bytes) -> int:
+    """1 for a unigram model, 2 for merges: field 3 of the trainer's message, which is field 2 of the file."""
+    for number, value in _fields(data):
+        if number == 2:
+            return dict(_fields(value)).get(3, UNIGRAM)
+    return UNIGRAM
+
+
+def log_scores(pieces: list[tuple[str, float, int]]) -> list[tuple[str, float, int]]:
+    """Pieces of a model of merges, whose scores are minus their rank, with log probabilities: log of 1 / (rank + SHIFT), less the log of the sum over all pieces.
+
+    They are rounded to multiples of 2^-20, whose sums are exact, so that ties are ties in whatever order a text is summed.
+    """
+    ranks = {i: -s + SHIFT for i, (_, s, k) in enumerate(pieces) if k in (NORMAL, USER)}
+    total = math.log(sum(1 / r for r in ranks.values())) if ranks else 0.0
+    return [(p, round((-math.log(ranks[i]) - total) * 2**20) / 2**20 if i in ranks else s, k) for i, (p, s, k) in enumerate(pieces)]
+
+
 def build_trie(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Double-array trie of sorted distinct keys: base, check and the key's place or -1 by node.
 
@@ -296,7 +322,9 @@ class Encoder:
 
 def load_encoder(path: str = DEFAULT_MODEL) -> Encoder:
     with open(path, "rb") as f:
-        return Encoder.of(read_model(f.read()))
+        data = f.read()
+    pieces = read_model(data)
+    return Encoder.of(pieces if model_type(data) == UNIGRAM else log_scores(pieces))
 
 
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -328,3 +356,30 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, keep: tuple[str, ...] =
             flat.release()
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+
+
+def decode(rows: DataFrame, model: str = DEFAULT_MODEL, ids: str = "ids") -> DataFrame:
+    """All columns of ``rows`` and decoded, the text of the column ``ids``, in place of a column of that name.
+
+    Pieces and bytes in order, markers as spaces, without the first one. Map-only.
+    Null ids give null; ids that the model lacks, and bytes that are no UTF-8, give null too.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(load_encoder(model))
+    kept = rows.drop("decoded")
+    schema = T.StructType([*kept.schema.fields, T.StructField("decoded", T.StringType())])
+
+    def text(encoder: Encoder, own: list[int] | None) -> str | None:
+        if own is None or any(i is None or not 0 <= i < len(encoder.scores) for i in own):
+            return None
+        try:
+            return encoder.decode(np.array(own, np.int64)).decode()
+        except UnicodeDecodeError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            column = x.column(x.schema.get_field_index(ids))
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array([text(shared.value, own) for own in column.to_pylist()], pa.string())], names=schema.names)
+            flat.release()
+
+    return kept.mapInArrow(run, schema)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +68,13 @@ def test_like_the_library(encoder):
         data = f.read()
     # Keep every field but the trainer's model type (field 3 of message 2), which becomes 1.
     out = b""
+    score = iter(pieces.log_scores(pieces.read_model(data)))
     for number, value in pieces._fields(data):
         body = b""
+        if number == 1:  # the piece with its log score
+            text, logp, kind = next(score)
+            raw = text.encode()
+            value = b"\x0a" + bytes([len(raw)]) + raw + b"\x15" + struct.pack("<f", logp) + b"\x18" + bytes([kind])
         if number == 2:
             at = 0
             while at < len(value):
@@ -145,3 +151,23 @@ def test_rows(spark):
 def test_table(spark):
     rows = op6_sentencepiece(spark, SF).collect()
     assert len(rows) == 200 and all(r.round_trip for r in rows)
+
+
+def test_scores_are_log_probabilities(encoder):
+    with open(pieces.DEFAULT_MODEL, "rb") as f:
+        data = f.read()
+    model = pieces.read_model(data)
+    assert pieces.model_type(data) == 2
+    own = [i for i, (_, _, k) in enumerate(model) if k in (pieces.NORMAL, pieces.USER)]
+    assert abs(np.exp(encoder.scores[own]).sum() - 1) < 1e-5
+    first, last = max(own, key=lambda i: model[i][1]), min(own, key=lambda i: model[i][1])
+    assert encoder.scores[first] == max(encoder.scores[own]) and encoder.scores[last] == min(encoder.scores[own])
+
+
+def test_decode_rows(spark):
+    docs = documents(spark, [(i, t) for i, t in enumerate(TEXTS)] + [(None, "x y"), (50, None)])
+    got = pieces.decode(pieces.encode(docs, keep=("doc_id",)).selectExpr("doc_id", "ids", "'clash' AS decoded")).collect()
+    assert sorted((r.decoded for r in got)) == sorted(TEXTS + ["x y", ""])
+    odd = spark.createDataFrame([(1, None), (2, [10**6]), (3, [3 + 0xC3]), (4, [])], "doc_id int, ids array<int>")
+    assert [(r.doc_id, r.decoded) for r in pieces.decode(odd).orderBy("doc_id").collect()] == [(1, None), (2, None), (3, None), (4, "")]
+    assert pieces.decode(odd.limit(0)).count() == 0
