@@ -12,12 +12,15 @@ the shards of the key space; a shard adds the counts of all chunks and replies
 to each chunk with the totals in the chunk's own order. So what is shuffled is
 a few bytes per distinct pair of a chunk, no key gets more than one entry per
 chunk however frequent it is, and no table of the corpus has to fit into one
-task: chunks and shards grow in number, not in size.
+task: chunks and shards grow in number, not in size. There are at most as many
+packets as distinct pairs of chunks, which grow with the corpus; below that,
+one for each chunk and shard.
 
 Counts are exact up to collisions of 64-bit hashes.
 
 Edge cases: a null or empty text is the end token alone. Repeated rows and
-texts count each time. Null ids share a fold and a chunk. An empty table gives
+texts count each time. Null ids share a fold, but no chunk: chunks go by id and
+text, so that only equal rows are sure to meet in one. An empty table gives
 no rows. Other columns are not read.
 """
 
@@ -231,7 +234,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, test_fold: int = 2, chunk_bytes:
     found = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.sum((part > 0).cast("long")).alias("n"), F.sum((part == 1).cast("long")).alias("r")).first()
     chunks = max(32, -(-int(found.b or 0) // chunk_bytes))
     starts = (float(found.n or 0), float(found.r or 0))
-    cut = docs.select("doc_id", "text", part.alias("part"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"))
+    cut = docs.select("doc_id", "text", part.alias("part"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
     counts = cut.groupBy("chunk").applyInArrow(_count(chunks), _COUNTS)
     replies = materialise(counts.groupBy("shard").applyInArrow(_total, _REPLY), "lm_counts")
     total = replies.filter("chunk = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "held_tokens", "held_types"))).first()
