@@ -55,3 +55,56 @@ def fallback(title: Column, venue: Column) -> Column:
 def smart_categories(title: Column, description: Column, venue: Column, keywords: Mapping[str, Sequence[str]]) -> Column:
     found = categories(F.concat_ws(" ", title, description, venue), keywords)
     return F.when(F.size(found) > 0, found).otherwise(F.array(fallback(title, venue)))
+
+
+#: Colours of categories, and the default.
+COLORS = {"Music": "#FF717A", "Festivals": "#6BC1FF", "Food Events": "#a8dca4", "Sports/Games": "#FF8352", "Comedy Shows": "#e6c580", "Art Shows": "#d87cfc", "Bars": "#FFBA0E", "Nightclubs": "#5963D1"}
+DEFAULT_COLOR = "#03A4F1"
+#: Words that put festivals and nightclubs before music.
+FESTIVAL_WORDS, CLUB_WORDS = ["festival", "fest", "multi-day", "weekend event", "outdoor event"], ["nightlife", "club", "dance floor", "party", "beats"]
+#: Another set of categories, with their words.
+BROAD = {
+    "Music": ["concert", "music", "band", "singer", "dj", "festival", "acoustic", "jazz", "rock", "pop"], "Comedy": ["comedy", "comedian", "standup", "improv", "funny", "humor"],
+    "Arts & Theater": ["theater", "theatre", "play", "art", "gallery", "exhibition", "dance", "ballet", "opera"], "Nightlife": ["party", "club", "bar", "nightlife", "drinks", "dancing"],
+    "Food & Drink": ["food", "restaurant", "wine", "beer", "tasting", "cooking", "chef", "dining"], "Sports": ["sport", "game", "match", "tournament", "race", "competition", "team"],
+    "Education": ["workshop", "seminar", "class", "course", "lecture", "training", "learn"], "Family": ["family", "kids", "children", "child", "parent", "baby"],
+    "Community": ["community", "volunteer", "charity", "fundraiser", "neighborhood", "local"], "Business": ["business", "networking", "conference", "meeting", "professional", "corporate"],
+}
+
+
+def color(category: Column) -> Column:
+    return first_match([(category == k, F.lit(v)) for k, v in COLORS.items()], F.lit(DEFAULT_COLOR))
+
+
+def reordered(x: Column, keywords: Mapping[str, Sequence[str]]) -> Column:
+    """Names of ``match_counts`` in order, with Festivals before Music where its own words match, and Nightclubs before Music where its own do and the counts differ by 2 at most: the two change places."""
+    found, lower = match_counts(x, keywords), F.lower(text(x))
+
+    def own(category: str, words: Sequence[str]) -> Column:
+        mine = [k for k in keywords.get(category, []) if any(w in k.lower() for w in words)]
+        return contains_any(lower, [k.lower() for k in mine]) if mine else F.lit(False)
+
+    count = lambda c: -F.get(F.filter(found, lambda r: r["category"] == c), 0)["minus"]
+
+    def swapped(names: Column, a: str, b: str, when: Column) -> Column:
+        """b comes to a's place and a to b's, where b stands after a."""
+        at = lambda c: F.array_position(names, c)
+        go = (at(a) > 0) & (at(b) > at(a)) & when
+        return F.when(F.coalesce(go, F.lit(False)), F.transform(names, lambda n: F.when(n == a, b).when(n == b, a).otherwise(n))).otherwise(names)
+
+    names = swapped(F.transform(found, lambda r: r["category"]), "Music", "Festivals", own("Festivals", FESTIVAL_WORDS))
+    return swapped(names, "Music", "Nightclubs", own("Nightclubs", CLUB_WORDS) & (F.abs(count("Music") - count("Nightclubs")) <= 2))
+
+
+def broad_categories(x: Column, most: int = 2) -> Column:
+    """The categories of ``BROAD`` with the most whole words in the text, ties in its order; Community without any."""
+    lower = F.lower(text(x))
+    # A word may be the end of one match and the start of the next, so what stands around it is only looked at.
+    n = lambda words: F.size(F.regexp_extract_all(lower, F.lit(rf"(?<![a-z0-9_])(?:{'|'.join(words)})(?![a-z0-9_])"), 0))
+    rows = F.array(*(F.struct((-n(words)).alias("minus"), F.lit(i).alias("i"), F.lit(c).alias("c")) for i, (c, words) in enumerate(BROAD.items())))
+    names = F.transform(F.slice(F.array_sort(F.filter(rows, lambda r: r["minus"] < 0)), 1, most), lambda r: r["c"])
+    return F.when(F.size(names) > 0, names).otherwise(F.array(F.lit("Community")))
+
+
+def valid_broad(c: Column, most: int = 3) -> Column:
+    return F.slice(F.filter(c, lambda x: x.isin(list(BROAD))), 1, most)

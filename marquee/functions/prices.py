@@ -40,3 +40,22 @@ def format_price(x: Column) -> Column:
     for s, c in CURRENCIES:
         symbol = symbol.when(currency(x) == c, s)
     return F.when(amount(x).isNull(), "Price TBD").when(amount(x) == 0, "Free").otherwise(F.concat(symbol, F.format_string("%.2f", amount(x))))
+
+
+#: What says outright that an event is free.
+FREE_FORMS = r"(?i)\b(free admission|free entry|free event|no charge)\b|\bfree\s+(?:of\s+charge|admission|entry)\b"
+
+
+def page_price(x: Column) -> Column:
+    """Struct of free, price and range: free only where it is said outright, else the first range '$a - $b', else the first '$a'."""
+    t = F.coalesce(x, F.lit(""))
+    free, many = t.rlike(FREE_FORMS), F.nullif(F.regexp_extract(t, r"\$[0-9]+(?:\.[0-9]{2})?\s*-\s*\$[0-9]+(?:\.[0-9]{2})?", 0), F.lit(""))
+    one = F.regexp_extract(t, r"\$([0-9]+(?:\.[0-9]{2})?)", 1).try_cast("double")
+    return F.struct(free.alias("free"), F.when(~free & many.isNull(), one).alias("price"), F.when(~free, many).alias("range"))
+
+
+def matched_price(value: Column, kind: Column) -> Column:
+    """Struct of free and price of a matched text: 0 for the free kinds, else its first number; null without one."""
+    number = F.regexp_extract(value, r"[\d.]+", 0).try_cast("double")
+    make = lambda f, p: F.struct(f.alias("free"), p.alias("price"))
+    return F.when(kind.isin("free", "free_dollar"), make(F.lit(True), F.lit(0.0))).when(number.isNotNull(), make(number == 0, number))

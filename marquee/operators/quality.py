@@ -153,3 +153,105 @@ def compliance(fields: list[Column], address: Column) -> Column:
 def most_frequent(rows: DataFrame, value: str) -> DataFrame:
     """The most frequent value; of equals, the one seen last (by ``ord``)."""
     return rows.groupBy(value).agg(F.count("*").alias("n"), F.min("ord").alias("first")).orderBy(F.col("n").desc(), F.col("first").desc()).limit(1)
+
+
+def pass_rate(passed: Column, default: float = 0.0) -> Column:
+    """Percent of true among those that are not null; ``default`` without any."""
+    return F.coalesce(F.try_divide(F.count_if(passed) * 100.0, F.count(passed)), F.lit(default))
+
+
+def mean_or_zero(x: Column) -> Column:
+    return F.coalesce(F.avg(x), F.lit(0.0))
+
+
+def rounded_mean(x: Column) -> Column:
+    """Mean rounded half up, 0 without values."""
+    return F.coalesce(F.floor(F.avg(x) + 0.5), F.lit(0))
+
+
+def bands(x: Column, high: float = 80, low: float = 60) -> dict[str, Column]:
+    """Percent of values of ``high`` or more, from ``low`` to below it, and below."""
+    share = lambda c: F.try_divide(F.count_if(c) * 100.0, F.count(x))
+    return {"high": share(x >= high), "medium": share((x >= low) & (x < high)), "low": share(x < low)}
+
+
+#: Words of test names, in order.
+TEST_KINDS = ["concert", "nightlife", "comedy", "sports", "food"]
+
+
+def test_kind(name: Column) -> Column:
+    """The first kind that a test's name has, or null."""
+    return F.coalesce(*(F.when(F.contains(name, F.lit(k)), k) for k in TEST_KINDS))
+
+
+def statistics(x: Column) -> dict[str, Column]:
+    """Mean and population deviation to 2 decimals, least and most; zeros without values."""
+    two = lambda c: F.coalesce(F.floor(c * 100 + 0.5) / 100, F.lit(0.0))
+    return {"mean": two(F.avg(x)), "deviation": two(F.stddev_pop(x)), "least": F.coalesce(F.min(x), F.lit(0)), "most": F.coalesce(F.max(x), F.lit(0))}
+
+
+def accuracy_overall(results: DataFrame) -> DataFrame:
+    """``accuracy`` by category, by field, and over all (both null), in one pass of grouping sets."""
+    a = F.col("accuracy")
+    known = results.filter(a.isNotNull())
+    out = known.groupingSets([["category"], ["field"], []], "category", "field").agg(F.avg(a).alias("average"), F.count("*").alias("n"), *(c.alias(k) for k, c in bins(a).items()))
+    return out.withColumn("grade", grade(F.col("average")))
+
+
+def confidence_report(confidence: Column, acc: Column, least_pairs: int = 5) -> dict[str, Column]:
+    """Counts in four bands (.85, .65, .45), correlation with accuracy for over ``least_pairs`` pairs, average where .8 or more, whether that is a problem (under 75), and reliability."""
+    sure = calibration(confidence, acc)
+    pairs = F.count_if(confidence.isNotNull() & acc.isNotNull())
+    return {
+        "very_high": F.count_if(confidence >= 0.85), "high": F.count_if((confidence >= 0.65) & (confidence < 0.85)), "medium": F.count_if((confidence >= 0.45) & (confidence < 0.65)), "low": F.count_if(confidence < 0.45),
+        "correlation": F.when(pairs > least_pairs, correlation(confidence, acc)), "calibration": sure, "miscalibrated": F.coalesce(sure < 75, F.lit(False)), "reliability": mean_or_zero(confidence) * 100,
+    }
+
+
+def mean_consistency(results: DataFrame, fields: list[str]) -> DataFrame:
+    """Mean of ``group_consistency`` over groups; 100 without any."""
+    return group_consistency(results, fields).agg(F.coalesce(F.avg("consistency"), F.lit(100.0)).alias("consistency"), F.count("*").alias("groups"))
+
+
+def venue_quality(name: Column, expected: Column) -> Column:
+    """50 without a name, 70 without the first word of the expected one."""
+    first = F.get(F.split(F.lower(expected), " "), F.lit(0))
+    return F.when(F.coalesce(name, F.lit("")) == "", 50).when(~F.contains(F.lower(name), first), 70).otherwise(100)
+
+
+#: Categories that a mapping may give.
+MAPPED = ["Music", "Comedy", "Arts & Theater", "Sports", "Food & Drink", "Community", "Business", "Health & Wellness", "Education", "Other"]
+
+
+def category_quality(category: Column, expected: Column) -> Column:
+    return F.when(F.coalesce(category, F.lit("")) == "", 50).when(~category.isin(MAPPED), 60).when(~category.eqNullSafe(expected), 80).otherwise(100)
+
+
+def data_quality(events: DataFrame, keys: list[str], scores: dict[str, Column]) -> DataFrame:
+    """Per group the best score of each dimension over its events, and their rounded mean as overall."""
+    best = events.groupBy(*keys).agg(*(F.max(c).alias(k) for k, c in scores.items()))
+    return best.withColumn("overall", F.floor(sum((F.col(k) for k in scores), F.lit(0)) / len(scores) + 0.5))
+
+
+def performance(events: Column, total_ms: Column, multi: Column, single: Column) -> Column:
+    """Struct of ms per event and events a second (0 without events) and the success rate of the two ways in percent."""
+    some = events > 0
+    ok = F.coalesce(multi.cast("int"), F.lit(0)) + F.coalesce(single.cast("int"), F.lit(0))
+    return F.struct(F.when(some, total_ms / events).otherwise(0.0).alias("average_ms"), F.when(some, F.try_divide(events, total_ms) * 1000).otherwise(0.0).alias("events_per_second"), (ok / 2 * 100).alias("success_rate"))
+
+
+def extraction_stats(results: DataFrame) -> DataFrame:
+    """Totals of (venue, address, confidence): rows, venues and addresses found with rounded rates, mean confidence to 2 decimals."""
+    found = lambda c: F.count_if(F.coalesce(F.col(c), F.lit("")) != "")
+    rate = lambda c: F.floor(F.try_divide(found(c) * 100.0, F.count("*")) + 0.5)
+    mean = F.floor(F.try_divide(F.sum(F.coalesce("confidence", F.lit(0.0))), F.count("*")) * 100 + 0.5) / 100
+    return results.agg(F.count("*").alias("total"), found("venue").alias("venues"), found("address").alias("addresses"), mean.alias("average_confidence"), rate("venue").alias("venue_rate"), rate("address").alias("address_rate"))
+
+
+def counts_by(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts by each of ``keys`` alone, in one pass: key, value, n."""
+    out = rows.groupingSets([[k] for k in keys], *keys).agg(F.count("*").alias("n"), F.grouping_id().alias("_g"))
+    # Of the bits of the grouping id, that of the key that is kept is 0.
+    which = F.coalesce(*(F.when(F.col("_g").bitwiseAND(F.lit(1 << (len(keys) - 1 - i))) == 0, k) for i, k in enumerate(keys)))
+    value = F.coalesce(*(F.when(which == k, F.col(k).cast("string")) for k in keys))
+    return out.select(which.alias("key"), value.alias("value"), "n")

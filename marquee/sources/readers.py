@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marquee.functions import linked
 from marquee.functions.addresses import looks_like_address
 from marquee.functions.text import venue_key
 
@@ -59,11 +60,7 @@ def json_ld(pages: DataFrame) -> DataFrame:
 
 
 def json_ld_events(pages: DataFrame) -> DataFrame:
-    """Fields of the linked-data events of pages: type, name, start, venue, address, price and confidence (90)."""
-    get = lambda path: F.try_variant_get("json", path, "string")
-    kind = get('$["@type"]')
-    out = json_ld(pages).filter(kind.rlike("Event|Festival"))
-    return out.select(
-        "page_id", "ord", kind.alias("type"), F.coalesce(get("$.name"), get("$.headline")).alias("name"), get("$.startDate").alias("start"), F.coalesce(get("$.location.name"), get("$.location")).alias("venue"),
-        F.concat_ws(", ", get("$.location.address.streetAddress"), get("$.location.address.addressLocality"), get("$.location.address.addressRegion")).alias("address"), F.coalesce(get("$.offers.lowPrice"), get("$.offers.price")).alias("price"), F.lit(90).alias("confidence"),
-    )
+    """The event of each linked-data block of a page, as the fields of ``linked.event_fields``, with page_id, ord, type and confidence."""
+    found = json_ld(pages).withColumn("event", linked.event_of(F.col("json"))).filter("event is not null")
+    found = found.withColumn("fields", linked.event_fields(F.col("event")))
+    return found.select("page_id", "ord", F.try_variant_get("event", '$["@type"]', "string").alias("type"), "fields.*", F.lit(linked.SURE).alias("confidence"))

@@ -158,5 +158,5 @@ def test_sources(spark):
     assert got == {"blue note": ("Blue note", "9 Elm Rd, Austin, TX"), "other": ("Other", "5 Oak Ave, Oakland, CA")}
     html = '<script type="application/ld+json">{"@type":"MusicEvent","name":"A","location":{"name":"V","address":{"streetAddress":"1 St"}},"offers":{"price":"5"}}</script><script type="application/ld+json">{bad</script>'
     rows = readers.json_ld_events(spark.createDataFrame([(1, html)], "page_id int, html string")).collect()
-    assert [(r.name, r.venue, r.address, r.price) for r in rows] == [("A", "V", "1 St", "5")]
+    assert [(r.title, r.location.venue, r.location.address, r.offers.least) for r in rows] == [("A", "V", "1 St", 5.0)]
     assert [r.value for r in readers.url_list(spark.createDataFrame([(" http://a ",), ("# x",), ("",)], "value string")).collect()] == ["http://a"]
