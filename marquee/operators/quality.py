@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marquee.operators.ranks import running
+
 #: Lower bounds of grades and of bins.
 GRADES = [(90, "A"), (80, "B"), (70, "C"), (60, "D")]
 BINS = [90, 80, 70, 60]
@@ -45,11 +47,10 @@ def correlation(x: Column, y: Column) -> Column:
 def by_rank(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Upper median (place n/2), p95 (place floor(.95n)) and nearest-rank p95 (place ceil(.95n)-1) per group, from counts of values.
 
-    Values are counted first, so a group's window sees distinct values only.
+    Values are counted first, and the counts are cumulated by ranges of values.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys)
-    counts = counts.withColumns({"upto": F.sum("c").over(w.orderBy(value)), "n": F.sum("c").over(w)})
+    counts = running(counts, keys, value, F.col("c")).withColumnsRenamed({"_upto": "upto", "_total": "n"})
     at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
     n = F.col("n")
     return counts.groupBy(*keys).agg(at(F.floor(n / 2)).alias("upper_median"), at(F.least(F.floor(n * 95 / 100), n - 1)).alias("p95"), at(F.ceil(n * 95 / 100) - 1).alias("p95_nearest"))
@@ -104,9 +105,8 @@ def group_consistency(results: DataFrame, fields: list[str]) -> DataFrame:
 
 def trend(rows: DataFrame, value: str, order: str, keys: list[str]) -> DataFrame:
     """Mean of the second half less mean of the first, split at n/2 in order."""
-    w = Window.partitionBy(*keys)
-    r = rows.withColumns({"_i": F.row_number().over(w.orderBy(order)), "_n": F.count("*").over(w)})
-    first = F.col("_i") <= F.floor(F.col("_n") / 2)
+    r = running(rows, keys, order)
+    first = F.col("_upto") <= F.floor(F.col("_total") / 2)
     return r.groupBy(*keys).agg((F.avg(F.when(~first, F.col(value))) - F.avg(F.when(first, F.col(value)))).alias("trend"))
 
 

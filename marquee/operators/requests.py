@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.common import contains_any, first_match, text
+from marquee.operators.ranks import running
 
 
 def domain_stats(log: DataFrame, cutoff_ms: int) -> DataFrame:
@@ -24,11 +25,20 @@ def over_limit(log: DataFrame, as_of_ms: int, window_ms: int, threshold: int) ->
     return recent.groupBy("domain").agg(F.count("*").alias("requests")).withColumn("blocked", F.col("requests") >= threshold)
 
 
-def waits(log: DataFrame, delay_ms: int) -> DataFrame:
-    """Each request's gap to the one before it on its domain, and what was left of the delay then."""
-    w = Window.partitionBy("domain").orderBy("timestamp", "id")
-    gap = F.col("timestamp") - F.lag("timestamp").over(w)
-    return log.withColumn("gap_ms", gap).withColumn("wait_ms", F.greatest(F.lit(0), delay_ms - F.col("gap_ms")))
+def waits(log: DataFrame, delay_ms: int, slice_ms: int = 3_600_000) -> DataFrame:
+    """Each request's gap to the one before it on its domain, and what was left of the delay then.
+
+    Domains are few and logs long, so a domain is cut into slices of time: a
+    slice's first request takes the last one of the slices before it.
+    """
+    cut = log.withColumn("_slice", F.floor(F.col("timestamp") / slice_ms))
+    last = cut.groupBy("domain", "_slice").agg(F.max("timestamp").alias("_last"))
+    earlier = F.lag("_last").over(Window.partitionBy("domain").orderBy("_slice"))
+    last = last.select("domain", "_slice", earlier.alias("_earlier"))
+    w = Window.partitionBy("domain", "_slice").orderBy("timestamp", "id")
+    gap = F.col("timestamp") - F.coalesce(F.lag("timestamp").over(w), "_earlier")
+    out = cut.join(last, ["domain", "_slice"]).withColumn("gap_ms", gap)
+    return out.withColumn("wait_ms", F.greatest(F.lit(0), delay_ms - F.col("gap_ms"))).select(*log.columns, "gap_ms", "wait_ms")
 
 
 def last_request(log: DataFrame) -> DataFrame:
@@ -36,10 +46,19 @@ def last_request(log: DataFrame) -> DataFrame:
 
 
 def overall(log: DataFrame) -> DataFrame:
-    """Totals with a rounded success rate, 0 without requests."""
+    """Totals with a rounded success rate (0 without requests), median and nearest-rank p95 of response times.
+
+    Response times are counted by value and the counts cumulated by ranges, so no state holds all values.
+    """
     rate = F.coalesce(F.floor(F.try_divide(F.sum("success") * 100.0, F.count("*")) + 0.5), F.lit(0))
-    nearest = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY response_time)")
-    return log.agg(F.count("*").alias("requests"), F.sum("success").alias("successes"), rate.alias("success_rate"), F.median("response_time").alias("median_ms"), nearest.alias("p95_ms"))
+    ranks = running(log.groupBy("response_time").agg(F.count("*").alias("_c")).filter("response_time is not null").withColumn("_all", F.lit(1)), ["_all"], "response_time", F.col("_c"))
+    n, upto = F.col("_total"), F.col("_upto")
+    at = lambda place: F.min(F.when(upto >= place, F.col("response_time")))
+    middle = ((at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2.0).alias("median_ms")
+    spread = ranks.agg(middle, at(F.ceil(n * 95 / 100)).alias("p95_ms"))
+    totals = log.agg(F.count("*").alias("requests"), F.sum("success").alias("successes"), rate.alias("success_rate"))
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    return one(totals).join(one(spread), "_one").drop("_one")
 
 
 def next_proxy(proxies: DataFrame, most_failures: int = 3) -> DataFrame:

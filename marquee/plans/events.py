@@ -159,7 +159,7 @@ def stored_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "compatibility",
-    f"""WITH e AS (SELECT * FROM {EVENTS}) SELECT event_id, CAST((startTime <> '' AND NOT regexp_matches(startTime, '^\d{{2}}:\d{{2}}:\d{{2}}$'))::INT + contains(startTime, 'Z')::INT AS INT) AS n_errors, CAST((event_id % 3 = 0)::INT AS INT) AS n_warnings,
+    f"""WITH e AS (SELECT * FROM {EVENTS}) SELECT event_id, CAST((startTime <> '' AND NOT regexp_matches(startTime, '^[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}$'))::INT + contains(startTime, 'Z')::INT AS INT) AS n_errors, CAST((event_id % 3 = 0)::INT AS INT) AS n_warnings,
     event_id % 4 = 0 OR event_id % 6 = 0 AS may_repeat, CASE WHEN event_id % 2 = 0 THEN collection END AS found_in FROM e""",
 )
 def compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a temporary folder is made, and it
-    is remembered in the session so that one session uses one folder.
+    Only where that is unset and all of Spark is one local process (tests, the
+    bench) a temporary folder is made, and it is remembered in the session so
+    that one session uses one folder. On a cluster a machine's own folder would
+    be no shared one, so there an unset folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="marquee-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
