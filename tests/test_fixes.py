@@ -70,7 +70,7 @@ def test_venues(spark):
     better = lambda v: one(spark, v, lambda x: venues.better_address(x, F.lit("Fillmore"), F.lit(""), known))
     assert better("12 Oak St") == "12 Oak St, Austin, TX" and better("downtown") == "9 B Ave, San Francisco, CA"
     assert one(spark, "https://www.songkick.com/x", lambda x: venues.site_type(x, [("songkick", "songkick")])) == "songkick"
-    assert one(spark, "Please solve the CAPTCHA", lambda x: venues.looks_blocked(x, F.lit("")))
+    assert one(spark, "Are you a ROBOT?", lambda x: venues.looks_blocked(x, F.lit("")))
 
 
 def test_venue_and_address(spark):
