@@ -1,8 +1,9 @@
 """Known venues: exact and partial lookup, near names, better addresses.
 
-The list of known venues is a small dimension; it is read to the driver with a
-check of its size and becomes a literal array, so that lookups are map-only and
-need no join by condition.
+``looked_up`` joins any number of names to any number of venues. Where the list
+of venues is a small dimension, ``known_array`` reads it to the driver with a
+check of its size and makes a literal array of it, for lookups inside other
+column expressions.
 """
 
 from __future__ import annotations
@@ -37,6 +38,38 @@ def lookup(name: Column, city: Column, known: Column) -> Column:
     return F.when(F.coalesce(name, F.lit("")) != "", F.coalesce(exact, near))
 
 
+GRAM = 3
+
+
+def _grams(x: Column) -> Column:
+    """All runs of one to GRAM characters."""
+
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(x) - n + 1)), lambda i: F.substring(x, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(*(runs(n) for n in range(1, GRAM + 1))))
+
+
+def looked_up(names: DataFrame, venues: DataFrame) -> DataFrame:
+    """``names`` (id, name, city) with address: of the venue (ord, name, address) of that name, else the first whose name contains it or is contained in it and whose address has the city, if one is given.
+
+    Of two texts of which one contains the other, the longer has the first
+    characters of the shorter somewhere, so both meet at those, by an equi join.
+    Keys without letters or digits meet nothing. Of repeated ids the rows count as one.
+    """
+    q = names.select("id", venue_key(F.col("name")).alias("q"), F.lower(text(F.col("city"))).alias("city")).filter("q <> ''")
+    v = venues.select("ord", venue_key(F.col("name")).alias("key"), "address").filter("key <> ''")
+    first = F.min(F.struct("ord", "address"))["address"]
+    exact = q.join(v.groupBy("key").agg(first.alias("exact")), F.col("q") == F.col("key")).groupBy("id").agg(F.min("exact").alias("exact"))
+    head = lambda c: F.substring(c, 1, GRAM)
+    inside = q.withColumn("gram", F.explode(_grams(F.col("q")))).join(v.withColumn("gram", head(F.col("key"))), "gram").filter(F.contains("q", F.col("key")))
+    around = q.withColumn("gram", head(F.col("q"))).join(v.withColumn("gram", F.explode(_grams(F.col("key")))), "gram").filter(F.contains("key", F.col("q")))
+    met = inside.unionByName(around).filter((F.col("city") == "") | F.contains(F.lower("address"), F.col("city")))
+    partial = met.groupBy("id").agg(first.alias("partial"))
+    out = names.join(exact, "id", "left").join(partial, "id", "left")
+    return out.withColumn("address", F.coalesce("exact", "partial")).drop("exact", "partial")
+
+
 def near_names(name: Column, known: Column) -> Column:
     """Known venues whose name is over NEAR like the name or contains it or is contained in it: array of struct(name, likeness)."""
     q = F.lower(text(name))

@@ -22,8 +22,8 @@ _KEY = r"trim(regexp_replace(regexp_replace(lower({}), '[^\w\s]', ' ', 'g'), '\s
 def known_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     k = F.col("n_nationkey")
-    known = venues.known_array(n.select(k.alias("ord"), F.col("n_name").alias("name"), F.concat(F.lit("No. "), k.cast("string"), F.lit(", City "), F.col("n_regionkey").cast("string")).alias("address")))
+    known = n.select(k.alias("ord"), F.col("n_name").alias("name"), F.concat(F.lit("No. "), k.cast("string"), F.lit(", City "), F.col("n_regionkey").cast("string")).alias("address"))
     c = F.col("c_custkey")
     name = F.when(c % 3 == 0, F.col("n_name")).when(c % 3 == 1, F.substring("n_name", 1, 4)).otherwise(F.concat(F.lit("Hall "), c.cast("string")))
-    t = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == k).select(c.alias("id"), name.alias("q"))
-    return t.select("id", venues.lookup(F.col("q"), F.lit(""), known).alias("address"))
+    t = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == k).select(c.alias("id"), name.alias("name"), F.lit("").alias("city"))
+    return venues.looked_up(t, known).select("id", "address")
