@@ -193,7 +193,9 @@ def validated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "validation_summary",
-    f"""WITH v AS (SELECT {_of_form(1)} AS c, {_of_form(2)} AS f, {_of_form(3)} AS e, {_of_form(4)} AS w FROM orders)
+    # The day that 1990 lacks is a bad date: an error, and neither a fix nor a warning.
+    f"""WITH o AS (SELECT *, {_F} = {_AT['past date']} AND strftime(o_orderdate, '%m-%d') = '02-29' AS leap FROM orders),
+    v AS (SELECT CASE WHEN leap THEN 100 ELSE {_of_form(1)} END AS c, CASE WHEN leap THEN 0 ELSE {_of_form(2)} END AS f, CASE WHEN leap THEN 1 ELSE {_of_form(3)} END AS e, CASE WHEN leap THEN 0 ELSE {_of_form(4)} END AS w FROM o)
     SELECT count(*) AS total, count_if(e = 0) AS valid, count_if(e > 0) AS invalid, CAST(sum(f) AS BIGINT) AS total_fixes, CAST(sum(e) AS BIGINT) AS total_errors, CAST(sum(w) AS BIGINT) AS total_warnings, CAST(floor(avg(c) + 0.5) AS BIGINT) AS average_confidence FROM v""",
 )
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,7 +132,7 @@ def _price_row(form: str, order: int, family: str, least: str, most: str, sure:
 
 _PRICE_SQL = " UNION ALL ".join([
     _price_row("1", 0, "free", "0", "0", "0.9"), _price_row("0, 2, 3, 4, 5, 6, 7, 8, 10", 1, "single", "a", "a", "0.7"), _price_row("2, 10", 2, "single", "b", "b", "0.7"),
-    _price_row("2, 10", 3, "ranges", "a", "b", "CASE WHEN b > a AND b - a <= 200 AND b <= 500 THEN 0.95 ELSE 0.65 END") + " AND a <= b", _price_row("3", 4, "starting", "a", "NULL", "CASE WHEN a <= 500 THEN 0.9 ELSE 0.7 END"),
+    _price_row("2, 10", 3, "ranges", "a", "b", "CASE WHEN b > a AND b - a <= 200 AND b <= 500 THEN 0.95 ELSE 0.65 END") + " AND a <= b", _price_row("3", 4, "starting", "a", "NULL", "CASE WHEN a <= 500 THEN 0.9::DOUBLE ELSE 0.8::DOUBLE - 0.1::DOUBLE END"),
     _price_row("4", 5, "maximum", "NULL", "a", "0.75"), _price_row("5", 6, "contextual", "a", "a", "0.65"), _price_row("6", 7, "tiered", "a", "a", "0.6", "'student'"), _price_row("7", 8, "timing", "a", "a", "0.6", "NULL", "'advance'"),
 ])
 
