@@ -116,6 +116,9 @@ def _points(c: Column, n: int) -> Column:
     return F.when(c, n).otherwise(0)
 
 
+# The points in the scores below.
+
+
 def flyer_venue_confidence(x: Column, base: Column) -> Column:
     return _clamped(base + _points(contains_any(F.lower(x), VENUE_TYPES), 15) + _points(x.rlike("^[A-Z]"), 5) + _points(x.rlike("[A-Z].*[A-Z]"), 5))
 

@@ -26,13 +26,17 @@ def extract_numbers(x: Column) -> Column:
     return F.transform(F.regexp_extract_all(text(x), F.lit(r"\d+(?:\.\d+)?"), 0), lambda n: n.cast("double"))
 
 
+#: Forms of URLs and of mail addresses; the last part of an address may hold a bar.
+URL_FORM = r"(?i)https?://[^\s<>\"{}|\\^`\[\]]+"
+MAIL_FORM = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
+
+
 def extract_urls(x: Column) -> Column:
-    return F.regexp_extract_all(text(x), F.lit(r"(?i)https?://[^\s<>\"{}|\\^`\[\]]+"), 0)
+    return F.regexp_extract_all(text(x), F.lit(URL_FORM), 0)
 
 
 def extract_emails(x: Column) -> Column:
-    """The last part may hold a bar, as in the pattern this follows."""
-    return F.regexp_extract_all(text(x), F.lit(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"), 0)
+    return F.regexp_extract_all(text(x), F.lit(MAIL_FORM), 0)
 
 
 #: Forms of phone numbers, in order.

@@ -1,4 +1,7 @@
-"""Predicates on single values. A null is never valid."""
+"""Predicates on single values. A null is never valid.
+
+Fixed values: the patterns, which define what is valid.
+"""
 
 from __future__ import annotations
 
