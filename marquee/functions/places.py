@@ -73,8 +73,8 @@ def city_of_address(address: Column) -> Column:
 
 
 def ensure_comma(address: Column) -> Column:
-    """An address without a comma gets one in the middle of its words, or a placeholder if it has only one word."""
+    """An address without a comma gets one in the middle of its words, or a placeholder if it has under three words."""
     words = F.split(F.trim(address), r"\s+")
     half = F.ceil(F.size(words) / 2).cast("int")
     halves = F.concat_ws(", ", F.concat_ws(" ", F.slice(words, F.lit(1), half)), F.concat_ws(" ", F.slice(words, half + 1, F.size(words))))
-    return F.when(F.contains(address, F.lit(",")), address).when(F.size(words) > 1, halves).otherwise(F.concat(address, F.lit(", Location TBD")))
+    return F.when(F.contains(address, F.lit(",")), address).when(F.size(words) > 2, halves).otherwise(F.concat(address, F.lit(", Location TBD")))
