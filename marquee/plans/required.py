@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.functions import typed
 from marquee.operators import requirements
 from marquee.plans.derive import pick, pick_sql
 from marquee.plans.registry import query
@@ -60,3 +61,23 @@ def tidied_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = F.when(k % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k % 3 == 1, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T20:00:00'"))
     t = table(spark, sf_dir, "orders").select(k.alias("id"), date.alias("date"), pick(k, ["19:30:00", "late", "21:00:00"]).alias("time"), F.lit("  A\n b ").alias("title"), F.when(k % 2 == 0, "u").alias("image"))
     return requirements.tidy(t).select("id", "date", "time", "title", "imageUrl", F.coalesce(F.size("imageUrls"), F.lit(-1)).alias("images"))
+
+
+#: Texts by form, over the day d, an amount a, four digits n and a house number h.
+SAID = ["Call 512-555-{n} at 7:05 PM on {d} for ${a}", "Free, or from ${a}.50 - mail joe@x.example", "{h} Oak Street, Austin, TX 78701 at 9 o'clock", "nothing"]
+
+
+@query(
+    "typed_values",
+    """WITH t AS (SELECT o_orderkey AS id, o_orderkey % 4 AS f, strftime(o_orderdate, '%Y-%m-%d') AS d, CAST(5 + o_custkey % 90 AS VARCHAR) AS a, printf('%04d', o_orderkey % 10000) AS n, CAST(1 + o_custkey % 900 AS VARCHAR) AS h FROM orders)
+    SELECT id, 'phone' AS field, 'us_dashed' AS kind, '(512) 555-' || n AS value, 90 AS confidence FROM t WHERE f = 0 UNION ALL SELECT id, 'time', '12hour', '19:05:00', 90 FROM t WHERE f = 0 UNION ALL SELECT id, 'time', '24hour', '07:05:00', 75 FROM t WHERE f = 0
+    UNION ALL SELECT id, 'time', 'verbose_12hour', '19:05:00', 85 FROM t WHERE f = 0 UNION ALL SELECT id, 'date', 'iso_date', d, 90 FROM t WHERE f = 0 UNION ALL SELECT id, 'price', 'dollar', a || '.00', 90 FROM t WHERE f = 0
+    UNION ALL SELECT id, 'price', 'free', '0.00', 95 FROM t WHERE f = 1 UNION ALL SELECT id, 'price', 'dollar', a || '.50', 90 FROM t WHERE f = 1 UNION ALL SELECT id, 'price', 'from_price', a || '.50', 80 FROM t WHERE f = 1 UNION ALL SELECT id, 'email', 'standard', 'joe@x.example', 95 FROM t WHERE f = 1
+    UNION ALL SELECT id, 'address', 'full_us', h || ' Oak Street, Austin, TX 78701', 90 FROM t WHERE f = 2 UNION ALL SELECT id, 'address', 'street_only', h || ' Oak Street', 75 FROM t WHERE f = 2""",
+)
+def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    out = pick(k, SAID)
+    for name, value in (("{d}", F.date_format("o_orderdate", "yyyy-MM-dd")), ("{a}", (5 + c % 90).cast("string")), ("{n}", F.format_string("%04d", k % 10000)), ("{h}", (1 + c % 900).cast("string"))):
+        out = F.replace(out, F.lit(name), value)
+    return typed.typed_values(table(spark, sf_dir, "orders").select(k.alias("id"), out.alias("text"))).drop("ord")
