@@ -7,9 +7,9 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import exact, licenses, lines, lm, mixing, ogg, pieces, simhash, substring, toxicity
+from marquee.llm import audit, exact, licenses, lines, lm, mixing, ogg, pieces, sharding, simhash, substring, toxicity, whitening
 from marquee.llm.batches import small_batches
-from marquee.session import table
+from marquee.session import scratch_path, table
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -98,3 +98,37 @@ WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
 """
+
+
+@_query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE_SQL["op11_filter_audit"] = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+f AS (SELECT part, doc_id, [CASE WHEN len(words) < 50 THEN 1 ELSE 0 END, CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 1 ELSE 0 END,
+  CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 1 ELSE 0 END, CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 1 ELSE 0 END, CASE WHEN doc_id > least THEN 1 ELSE 0 END] AS fails FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter, [CASE WHEN instr(filter_order, y) < step THEN 1 ELSE 0 END FOR y IN ['A', 'B', 'C', 'D', 'E']] AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, filter_order, step, letter, n, good, toxic, fails[instr('ABCDE', letter)] AS own, list_dot_product(fails, before) AS earlier, list_sum(fails) AS failed FROM c, s),
+g AS (SELECT part, filter_order, step, letter, sum(CASE WHEN earlier = 0 AND own = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN earlier = 0 AND own = 1 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN earlier > 0 AND own = 1 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN own = 1 AND failed = 1 THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN earlier = 0 AND own = 1 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN earlier = 0 AND own = 1 THEN toxic ELSE 0 END) AS toxic_lost FROM r GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM g
+"""
+
+
+@_query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), scratch_path(spark, "slot_map"))
