@@ -11,20 +11,10 @@ grows with its square; there each fingerprint is filed instead under all values
 that differ from it in at most distance/2 of the bits outside the key. Two are
 at most ``distance`` apart exactly if they meet under such a value, and few can
 meet under one, so no link is lost and nothing is quadratic.
-
-64 bits tell texts of a similarity of 0.8 apart from others only at distances
-for which no choice of blocks is both few and long. ``groups(wide=...)`` adds
-links by fingerprints of 256 bits, of which the first 64 are those above: a
-block is a choice of about log2 of the number of fingerprints bits, ``tables``
-blocks are tried, the fingerprints that share one are compared with the
-smallest of them, and those within ``wide`` bits are linked. Which pairs share
-a block is a matter of chance here; see ``block_recall``.
 """
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -76,25 +66,20 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return result
 
 
-def fingerprints_of(column: pa.Array, shingle: int, words: int = 1) -> list[np.ndarray]:
-    """Fingerprints (int64 arrays, one for each 64 bits) of whole texts; the first one's hashes are the shingles' XXH64, the others' are mixed from those."""
-    out = [[np.zeros(0, np.uint64)] for _ in range(words)]
-    for hashes, counts in _shingle_hashes(column, shingle):
-        for i in range(words):
-            out[i].append(_majority(flat.mix(hashes + np.uint64(i) * np.uint64(0x9E3779B97F4A7C15)) if i else hashes, counts))
-    return [np.concatenate(x).view(np.int64) for x in out]
+def fingerprints_of(column: pa.Array, shingle: int) -> np.ndarray:
+    """Fingerprints (int64) of whole texts."""
+    return np.concatenate([np.zeros(0, np.uint64), *(_majority(hashes, counts) for hashes, counts in _shingle_hashes(column, shingle))]).view(np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", doc_id: str = "doc_id", words: int = 1) -> DataFrame:
-    """doc_id and fp (and w1, w2, ... for more ``words`` of 64 bits) of every row. A null text is an empty one; without words all bits are 0."""
-    names = ["fp", *(f"w{i}" for i in range(1, words))]
+def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id and fp of every row. A null text is an empty one; without words all bits are 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            yield pa.RecordBatch.from_arrays([x.column(0), *(pa.array(w) for w in fingerprints_of(x.column(1), shingle, words))], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(fingerprints_of(x.column(1), shingle))], ["doc_id", "fp"])
             flat.release()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in ["doc_id", *names]))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -142,60 +127,17 @@ def links(fps: DataFrame, distance: int = 2, blocks: int = 4, few: int | None =
     return pairs.unionByName(stars).distinct()
 
 
-#: Words of a wide fingerprint, and of how many choices of its bits a key is made.
-WORDS, TABLES = 4, 48
-
-
-def block_recall(share: float, bits: int, tables: int = TABLES) -> float:
-    """Chance that two wide fingerprints with a ``share`` of bits apart agree on one of the blocks of ``bits`` bits."""
-    return 1 - (1 - (1 - share) ** bits) ** tables
-
-
-def wide_links(classes: DataFrame, total: int, distance: int, tables: int = TABLES) -> DataFrame:
-    """Links (a, b) between fingerprints (fp, w1, w2, w3; one row per fp) that share a block with the smallest of it and are at most ``distance`` of 256 bits apart."""
-    names = ["fp", *(f"w{i}" for i in range(1, WORDS))]
-    bits = max(16, math.ceil(math.log2(max(total, 2))) + 2)
-    rng = random.Random(SEED)
-    masks = []
-    for _ in range(tables):
-        mask = [0] * WORDS
-        for b in rng.sample(range(64 * WORDS), bits):
-            mask[b // 64] |= 1 << b % 64
-        masks.append([_signed(m) for m in mask])
-    keys = F.array(*(F.xxhash64(F.lit(t), *(F.col(n).bitwiseAND(F.lit(m)) for n, m in zip(names, mask, strict=True))) for t, mask in enumerate(masks)))
-    keyed = classes.select("fp", F.explode(keys).alias("key"))
-    shared = materialise(keyed.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1"), "wide_blocks")
-    entries = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    pairs = lookup(keyed, shared, "key", "n", entries).filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()
-    pairs = materialise(pairs, "wide_pairs")
-    # A fingerprint may be the smallest of many blocks; its own words come to its pairs by the same rule.
-    centres = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    centres = centres.join(classes.select(F.col("fp").alias("a"), *(F.col(n).alias(f"a_{n}") for n in names)), "a")
-    met = lookup(pairs, materialise(centres, "wide_centres"), "a", "n", pairs.count())
-    met = met.join(classes.select(F.col("fp").alias("b"), *(F.col(n).alias(f"b_{n}") for n in names)), "b")
-    apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
-    return met.filter(apart <= distance).select("a", "b")
-
-
-def groups(docs: DataFrame, shingle: int = 3, distance: int = 2, blocks: int = 4, few: int | None = None, wide: int | None = None) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 3, distance: int = 2, blocks: int = 4, few: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) and group_size of every row.
 
-    Fingerprints of 64 bits link at ``distance`` or fewer differing bits; with
-    ``wide``, those of 256 bits at that many or fewer link too, as far as they
-    share a block. Null and empty texts have fingerprint zero, which links like
-    any other. Repeated rows and ids each give a row. Null ids never name a
-    group unless it has no other. An empty table gives no rows; other columns
-    are not read.
+    Fingerprints link at ``distance`` or fewer differing bits. Null and empty
+    texts have fingerprint zero, which links like any other. Repeated rows and
+    ids each give a row. Null ids never name a group unless it has no other. An
+    empty table gives no rows; other columns are not read.
     """
-    more = [f"w{i}" for i in range(1, WORDS)] if wide is not None else []
-    rows = materialise(fingerprints(docs, shingle, words=len(more) + 1), "fingerprints")
-    # Texts of one fingerprint are one class; of its wide fingerprints, which hardly differ, the smallest stands for it.
-    own = F.min(F.struct(*more)) if more else F.lit(None)
-    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), own.alias("w")).select("fp", "least", "n", *(F.col(f"w.{m}").alias(m) for m in more)), "classes")
-    edges = links(classes.select("fp"), distance, blocks, few)
-    if more:
-        edges = edges.unionByName(wide_links(classes.select("fp", *more), classes.count(), wide))
-    found = components(edges)
+    rows = materialise(fingerprints(docs, shingle), "fingerprints")
+    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
+    found = components(links(classes.select("fp"), distance, blocks, few))
     linked = classes.join(found, classes["fp"] == found["node"]).select("fp", "root", "least", "n")
     roots = materialise(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size"), F.count("*").alias("members")), "roots")
     total = roots.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
