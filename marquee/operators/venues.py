@@ -135,58 +135,3 @@ def site_type(url: Column, hosts: list[tuple[str, str]]) -> Column:
         out = out.when(host.rlike(pattern), name)
     return out.otherwise("generic") if hosts else F.lit("generic")
 
-
-#: Forms in which a text names its venue.
-VENUE_FORMS = [r"(?i)\bheld at\s+([^,]+)", r"(?i)\bat\s+([A-Z][^,]+)", r"@\s*([^,]+)"]
-
-
-def title_case(x: Column) -> Column:
-    """Of each word, the first word character in upper case and what follows in lower case."""
-    part = lambda w, i: F.regexp_extract(w, r"^(\W*)(\w?)(.*)$", i)
-    return F.array_join(F.transform(F.split(x, " "), lambda w: F.concat(part(w, 1), F.upper(part(w, 2)), F.lower(part(w, 3)))), " ")
-
-
-def tidy_venue(x: Column) -> Column:
-    """Without leading small words and a trailing street number, in title case."""
-    out = F.regexp_replace(F.trim(x), r"(?i)^((the|at|in|on|located|situated|held|hosted)\s+)+", "")
-    return title_case(F.trim(F.regexp_replace(out, r"\s+\d+.*$", "")))
-
-
-def venue_confidence(x: Column, keywords: list[str]) -> Column:
-    """0.1, and 0.4 for a keyword, 0.2 for 2 to 6 words, 0.2 for no street, 0.1 for title case; at most 1."""
-    words = F.size(F.split(F.trim(x), r"\s+"))
-    plus = lambda c, n: F.when(c, n).otherwise(0.0)
-    street = x.rlike(r"\d") | x.rlike(STREET_WORDS)
-    has = contains_any(F.lower(x), [k.lower() for k in keywords])
-    return F.round(F.least(F.lit(1.0), 0.1 + plus(has, 0.4) + plus(words.between(2, 6), 0.2) + plus(~street, 0.2) + plus(x == title_case(x), 0.1)), 4)
-
-
-def venue_and_address(x: Column, city: Column, keywords: list[str]) -> Column:
-    """Struct of venue, address, confidence and strategy from one text.
-
-    In this order, of equals the first: a form that names the venue (0.8), a
-    first part between commas that is no street and has a keyword (0.7) or six
-    words at most and no number (0.6), what stands before the ``city`` (0.5),
-    else the whole text (0.3).
-    """
-    t = F.trim(text(x))
-    lower = [k.lower() for k in keywords]
-    named = F.coalesce(*(F.nullif(F.regexp_extract(t, f, 1), F.lit("")) for f in VENUE_FORMS))
-    rest = F.trim(F.when(F.contains(t, F.lit(",")), F.regexp_replace(t, "^[^,]*,", "")).otherwise(""))
-    place = or_else(city, F.lit("San Francisco, CA"))
-    first = F.trim(F.substring_index(t, ",", 1))
-    keyword = contains_any(F.lower(first), lower)
-    is_street = first.rlike(r"\d") & first.rlike(STREET_WORDS)
-    is_city = F.lower(first) == F.lower(text(city))
-    split = F.contains(t, F.lit(",")) & (rest != "") & ~is_street & ~is_city & (keyword | (~first.rlike(r"\d") & (F.size(F.split(first, " ")) <= 6)))
-    at = F.position(F.lower(text(city)), F.lower(t))
-    before = F.trim(F.substring(t, F.lit(1), F.greatest(at - 1, F.lit(0))))
-    context = (text(city) != "") & (at > 6) & (F.size(F.split(before, r"\s+")) <= 5) & ~before.rlike(r"\d")
-    make = lambda v, a, c, s: F.struct(tidy_venue(v).alias("venue"), a.alias("address"), F.lit(c).alias("confidence"), F.lit(s).alias("strategy"))
-    return (
-        F.when(named.isNotNull(), make(named, F.when(F.length(rest) >= 5, rest).otherwise(place), 0.8, "pattern"))
-        .when(split & keyword, make(first, rest, 0.7, "structure"))
-        .when(split, make(first, rest, 0.6, "structure"))
-        .when(context, make(before, F.trim(F.substring(t, at, F.length(t))), 0.5, "context"))
-        .otherwise(make(t, place, 0.3, "fallback"))
-    )

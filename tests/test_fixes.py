@@ -73,14 +73,16 @@ def test_venues(spark):
     assert one(spark, "Are you a ROBOT?", lambda x: venues.looks_blocked(x, F.lit("")))
 
 
-def test_venue_and_address(spark):
-    from marquee.operators import venues
-
-    get = lambda v, c="": tuple(one(spark, v, lambda x: venues.venue_and_address(x, F.lit(c), ["Theater", "Hall"])))
-    assert get("Jazz at The blue note, 1 A St, Austin") == ("Blue Note", "1 A St, Austin", 0.8, "pattern")
-    assert get("Grand Hall, 5 Oak St, Oakland") == ("Grand Hall", "5 Oak St, Oakland", 0.7, "structure")
-    assert get("Blue Note, Oakland") == ("Blue Note", "Oakland", 0.6, "structure")
-    assert get("Blue Note Oakland", "Oakland") == ("Blue Note", "Oakland", 0.5, "context")
-    assert get("somewhere") == ("Somewhere", "San Francisco, CA", 0.3, "fallback") and get(None)[2] == 0.3
-    assert one(spark, "(foo BAR", venues.title_case) == "(Foo Bar"
-    assert one(spark, "Grand Hall", lambda x: venues.venue_confidence(x, ["Hall"])) == 1.0
+def test_located_venues(spark):
+    from marquee.operators import locating
+
+    texts = [
+        ("Jazz at  The blue note, 1 A St, Austin", ("Blue Note", "1 A St, Austin", 0.8, "pattern")), ("Grand Hall, 5 Oak St, Oakland", ("Grand Hall", "5 Oak St, Oakland", 0.7, "structure")), ("Blue Fox, Oakland", ("Blue Fox", "Oakland", 0.6, "structure")),
+        ("big club group", ("Big Club Group", "big club group, San Francisco, CA", 0.63, "keyword")), ("The Owl Kyle", ("Owl", "Kyle", 0.5, "context")), ("12 Oak Ave", ("", "12 Oak Ave, San Francisco, CA", 0.3, "fallback")), ("(foo XYZ", ("(Foo Xyz", "San Francisco, CA", 0.2, "fallback")),
+        (None, ("", "", 0.0, "unknown")), (" \t", ("", "", 0.0, "unknown")),
+    ]
+    rows = spark.createDataFrame([(i, t, 0) for i, (t, _) in enumerate(texts)], "id long, x string, venue int")
+    got = {r.id: (r.venue, r.address, r.confidence, r.strategy) for r in locating.located(rows, "x").collect()}
+    assert locating.located(rows.limit(0), "x").count() == 0
+    bad = [(texts[i][0], got[i], w) for i, (_, w) in enumerate(texts) if got[i] != w]
+    assert not bad, bad
