@@ -116,7 +116,8 @@ def links(fps: DataFrame, distance: int = 2, blocks: int = 4, few: int | None =
     shared = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
     met = materialise(keyed.join(shared, ["choice", "key"]), "blocks")
     small = met.filter(F.col("n") <= few).select("choice", "key", "fp")
-    pairs = small.select("choice", "key", F.col("fp").alias("a")).join(small.withColumnRenamed("fp", "b"), ["choice", "key"]).filter("a < b")
+    # The table is tiny on disk where few fingerprints share many keys, but not in memory, so no side is broadcast.
+    pairs = small.select("choice", "key", F.col("fp").alias("a")).join(small.withColumnRenamed("fp", "b").hint("merge"), ["choice", "key"]).filter("a < b")
     pairs = pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
     # Their number follows from blocks and distance alone, tens of thousands at most.
     flips = fps.sparkSession.createDataFrame([(i, v) for i, own in enumerate(values) for v in own], "choice int, flip long")
