@@ -56,3 +56,16 @@ def overall_confidence(fields: DataFrame) -> DataFrame:
 def sources(rows: DataFrame) -> DataFrame:
     """Layers that say something about a field."""
     return rows.groupBy("page_id", "field").agg(F.array_sort(F.collect_set("layer")).alias("layers"))
+
+
+def kept_by_priority(rows: DataFrame) -> DataFrame:
+    """page_id, field, value and confidence after the layers are taken one after another, in order: a value gives way if it is null or empty, or less sure than the next; ties keep the earlier one.
+
+    The outcome depends on the order, as a surer blank takes the place of a
+    value and then gives way to anything; so the layers of a field, few by
+    nature, are folded in order.
+    """
+    each = rows.groupBy("page_id", "field").agg(F.array_sort(F.collect_list(F.struct("layer", "value", "confidence"))).alias("all"))
+    gives_way = lambda kept, x: (F.coalesce(kept["value"], F.lit("")) == "") | (F.coalesce(kept["confidence"], F.lit(0.0)) < F.coalesce(x["confidence"], F.lit(0.0)))
+    kept = F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.col("all")[0], lambda kept, x: F.when(gives_way(kept, x), x).otherwise(kept))
+    return each.withColumn("kept", kept).select("page_id", "field", "kept.value", "kept.confidence")

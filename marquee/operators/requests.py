@@ -95,6 +95,23 @@ def last_write(cache: DataFrame) -> DataFrame:
     return last.select("url", "e.data", "e.timestamp", F.lit(0).cast("long").alias("hits"))
 
 
+def replayed(log: DataFrame, ttl_ms: int) -> DataFrame:
+    """Reads of a cache as it stood then: rows of ``log`` with kind ``get`` and hit, data (what was stored, for hits) and hits (of the entry, with this one).
+
+    log: ord, url, kind (``get`` or ``set``), data, at (ms). A read hits the
+    last write before it unless that is older than the time to live; every write
+    starts the count of hits anew. Of one time, rows go by ord.
+    """
+    upto = Window.partitionBy("url").orderBy("at", "ord").rowsBetween(Window.unboundedPreceding, 0)
+    written = F.col("kind") == "set"
+    last = F.last(F.when(written, F.struct("at", "data")), ignorenulls=True).over(upto)
+    rows = log.withColumns({"_last": last, "_turn": F.count(F.when(written, 1)).over(upto)})
+    hit = F.coalesce(~written & (F.col("at") - F.col("_last.at") <= ttl_ms), F.lit(False))
+    turn = Window.partitionBy("url", "_turn").orderBy("at", "ord").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("hit", hit).withColumn("_hits", F.count(F.when(F.col("hit"), 1)).over(turn)).filter(~written)
+    return rows.withColumns({"data": F.when(F.col("hit"), F.col("_last.data")), "hits": F.when(F.col("hit"), F.col("_hits"))}).drop("_last", "_turn", "_hits", "kind")
+
+
 #: What messages say, in order, and the class of the error.
 ERROR_CLASSES = [(["timeout"], "TIMEOUT"), (["cloudflare"], "CLOUDFLARE"), (["rate limit", "429"], "RATE_LIMIT"), (["captcha"], "CAPTCHA"), (["network", "econnrefused"], "NETWORK"), (["blocked", "403"], "BLOCKED")]
 
