@@ -114,9 +114,9 @@ def links(fps: DataFrame, distance: int = 2, blocks: int = 4, few: int | None =
     keyed = fps.select("fp", F.posexplode(F.array(*(F.lit(m) for m in masks))).alias("choice", "mask"))
     keyed = keyed.select("fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     shared = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = materialise(keyed.join(shared, ["choice", "key"]), "blocks")
+    # Sizes on disk say nothing of ``keyed``, which has a row for each choice; no side of these joins is broadcast by them.
+    met = materialise(keyed.join(shared.hint("merge"), ["choice", "key"]), "blocks")
     small = met.filter(F.col("n") <= few).select("choice", "key", "fp")
-    # The table is tiny on disk where few fingerprints share many keys, but not in memory, so no side is broadcast.
     pairs = small.select("choice", "key", F.col("fp").alias("a")).join(small.withColumnRenamed("fp", "b").hint("merge"), ["choice", "key"]).filter("a < b")
     pairs = pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
     # Their number follows from blocks and distance alone, tens of thousands at most.
