@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from marquee.plans import checking, choices, dedupe, elements, events, fixing, layers, locating, pages, parsing, quality, requests, required, scalars, shapes, singles, structured, venues  # noqa: F401
+    from marquee.plans import checking, choices, dedupe, elements, events, fixing, layers, locating, naming, pages, parsing, quality, requests, required, scalars, shapes, singles, structured, venues  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
