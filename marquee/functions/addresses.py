@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marquee.functions.common import contains_any, first_match, squeeze, text
+from marquee.functions.common import contains_any, first_match, let, squeeze, text
 from marquee.functions.places import AUSTIN_CITIES, COPIED_AUSTIN, city_of_text, region
 
 #: States by name, the largest cities in the order in which they are tried, types of venues, ends of addresses.
@@ -80,14 +80,18 @@ def repeat_collection(address: Column, city: Column) -> Column:
 
 def completed_address(address: Column, venue: Column, city: str = "Austin", state: str = "TX") -> Column:
     """Struct of value, confidence and reason for an address without a comma: a venue's name, a major city split off, a state at the end split off, else null."""
-    t = squeeze(address)
-    lower = F.lower(t)
-    tail = f", {city}, {state}"
-    at = lambda c: F.position(F.lit(c.lower()), lower)
-    make = lambda v, n, r: F.struct(v.alias("value"), F.lit(n).alias("confidence"), F.lit(r).alias("reason") if isinstance(r, str) else r.alias("reason"))
-    cities = [(at(c) > 1, make(F.concat(F.trim(F.substring(t, F.lit(1), at(c) - 1)), F.lit(", "), F.trim(F.substring(t, at(c), F.length(t)))), 85, f"Identified city: {c}")) for c in MAJOR_CITIES]
-    words = F.split(t, r"\s+")
-    n = F.size(words)
-    state_last = F.upper(F.get(words, n - 1)).isin(list(STATES.values())) & (n >= 3)
-    by_state = make(F.concat(F.array_join(F.slice(words, F.lit(1), n - 2), " "), F.lit(", "), F.get(words, n - 2), F.lit(", "), F.get(words, n - 1)), 80, "Formatted venue, city, state")
-    return first_match([((text(venue) != "") & (t == venue), make(F.concat(t, F.lit(tail)), 60, "Added city and state to venue name")), *cities, (state_last, by_state)], F.lit(None).cast("struct<value:string,confidence:int,reason:string>"))
+    make = lambda v, n, r: F.struct(v.alias("value"), F.lit(n).alias("confidence"), r.alias("reason"))
+
+    def complete(t: Column) -> Column:
+        named = make(F.concat(t, F.lit(f", {city}, {state}")), 60, F.lit("Added city and state to venue name"))
+        places = F.transform(F.array(*map(F.lit, MAJOR_CITIES)), lambda c: F.struct(c.alias("city"), F.position(F.lower(c), F.lower(t)).alias("at")))
+        split_at = lambda x: F.when(x["at"] > 1, make(F.concat(F.trim(F.substring(t, F.lit(1), x["at"] - 1)), F.lit(", "), F.trim(F.substring(t, x["at"], F.length(t)))), 85, F.concat(F.lit("Identified city: "), x["city"])))
+        by_city = let(F.get(F.filter(places, lambda x: x["at"] > 1), F.lit(0)), split_at)
+        return F.coalesce(F.when((text(venue) != "") & (t == venue), named), by_city, let(F.split(t, r"\s+"), by_state))
+
+    def by_state(words: Column) -> Column:
+        n = F.size(words)
+        last = F.upper(F.get(words, n - 1)).isin(list(STATES.values())) & (n >= 3)
+        return F.when(last, make(F.concat(F.array_join(F.slice(words, F.lit(1), F.greatest(n - 2, F.lit(0))), " "), F.lit(", "), F.get(words, n - 2), F.lit(", "), F.get(words, n - 1)), 80, F.lit("Formatted venue, city, state")))
+
+    return let(squeeze(address), complete)

@@ -6,7 +6,7 @@ Everything is a native column expression; no function reads a clock, and
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,3 +58,13 @@ def first_match(choices: Sequence[tuple[Column, Column]], default: Column) -> Co
 def messages(checks: Sequence[tuple[Column, str]]) -> Column:
     """Messages of the conditions that hold, in order."""
     return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(m)) for c, m in checks)))
+
+
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with x computed once, however often ``use`` takes it: a plan repeats a column's tree wherever it stands."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def matched(x: Column, pattern: str, groups: int, use: Callable[..., Column]) -> Column:
+    """``use`` of the groups of the first match in x, each matched once; groups that take no part are null, and all of them without a match."""
+    return let(F.array(*(F.nullif(F.regexp_extract(x, pattern, i), F.lit("")) for i in range(1, groups + 1))), lambda g: use(*(g[i] for i in range(groups))))

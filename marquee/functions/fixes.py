@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marquee.functions.common import contains_any, first_match, fold, round_half_up, squeeze, text
+from marquee.functions.common import contains_any, first_match, fold, let, round_half_up, squeeze, text
 
 
 def _fix(value: Column, confidence: Column, reason: Column) -> Column:
@@ -33,24 +34,29 @@ def fix_price(price: Column) -> Column:
     return F.when(price.isNotNull(), _fix(value, confidence, F.when(number.isNotNull(), "number").when(free, "free").otherwise("none")))
 
 
+def _keywords(mapping: Mapping[str, str]) -> Column:
+    """Array of struct(k, v, i) of a mapping, in order: one literal, whatever its size."""
+    return F.from_json(F.lit(json.dumps([{"k": k, "v": v, "i": i} for i, (k, v) in enumerate(mapping.items())])), "array<struct<k:string,v:string,i:int>>")
+
+
 def infer_category(x: Column, mapping: Mapping[str, str]) -> Column:
     """Struct of category and confidence: the category with the most letters of its keywords in the text, the first of equals; null for none."""
-    lower = F.lower(text(x))
-    order = list(dict.fromkeys(mapping.values()))
-    scores = {c: sum((F.when(F.contains(lower, F.lit(k)), len(k)).otherwise(0) for k, v in mapping.items() if v == c), F.lit(0)) for c in order}
-    # Categories count in the order in which their first keyword is found.
-    first = {c: F.least(*[F.when(F.contains(lower, F.lit(k)), i).otherwise(10**6) for i, (k, v) in enumerate(mapping.items()) if v == c], F.lit(10**6)) for c in order}
-    best = F.get(F.array_sort(F.array(*(F.struct((-scores[c]).alias("s"), first[c].alias("i"), F.lit(c).alias("c")) for c in order))), 0)
-    return F.when(best["s"] < 0, F.struct(best["c"].alias("category"), F.least(F.lit(90), 50 - best["s"] * 5).alias("confidence")))
+
+    def best_of(found: Column) -> Column:
+        # Categories count in the order in which their first keyword is found.
+        names = F.array_distinct(F.transform(found, lambda m: m["v"]))
+        letters = lambda c: F.aggregate(F.filter(found, lambda m: m["v"] == c), F.lit(0), lambda n, m: n + F.length(m["k"]))
+        scored = F.transform(names, lambda c, i: F.struct((-letters(c)).alias("s"), i.alias("i"), c.alias("c")))
+        return let(F.array_min(scored), lambda b: F.when(b["s"] < 0, F.struct(b["c"].alias("category"), F.least(F.lit(90), 50 - b["s"] * 5).alias("confidence"))))
+
+    return let(F.lower(text(x)), lambda lower: let(F.filter(_keywords(mapping), lambda m: F.contains(lower, m["k"])), best_of))
 
 
 def map_category(x: Column, mapping: Mapping[str, str]) -> Column:
     """Struct of category and confidence: 95 for a keyword, 80 for the first one that contains or is contained in the text (an empty text is in all), else null."""
-    lower = F.trim(F.lower(x))
-    struct = lambda v, n: F.struct(F.lit(v).alias("category"), F.lit(n).alias("confidence"))
-    none = F.lit(None).cast("struct<category:string,confidence:int>")
-    exact = [(lower == k, struct(v, 95)) for k, v in mapping.items()]
-    return first_match(exact + [(F.contains(lower, F.lit(k)) | F.contains(F.lit(k), lower), struct(v, 80)) for k, v in mapping.items()], none)
+    make = lambda m, n: F.when(m.isNotNull(), F.struct(m["v"].alias("category"), F.lit(n).alias("confidence")))
+    first = lambda test: F.get(F.filter(_keywords(mapping), test), F.lit(0))
+    return let(F.trim(F.lower(x)), lambda lower: F.coalesce(make(first(lambda m: m["k"] == lower), 95), make(first(lambda m: F.contains(lower, m["k"]) | F.contains(m["k"], lower)), 80)))
 
 
 def valid_value(field: Column, value: Column) -> Column:

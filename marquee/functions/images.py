@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marquee.functions.common import contains_any
+from marquee.functions.common import contains_any, matched
 from marquee.functions.validators import valid_image_url
 
 #: What URLs say, and the points for it.
@@ -81,10 +81,8 @@ LEAST_SIDE, OCR_LEAST, OCR_IDEAL, OCR_SUITABLE = 300, 400, 800, 60
 
 def dimensions(url: Column) -> Column:
     """Struct of width and height from the first form of size in a URL with both sides over 50 and under 5000; zeros without."""
-    n = lambda p, i: F.regexp_extract(url, p, i).try_cast("int")
-    sane = lambda p: (n(p, 1) > 50) & (n(p, 1) < 5000) & (n(p, 2) > 50) & (n(p, 2) < 5000)
-    make = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
-    return F.coalesce(*(F.when(sane(p), make(n(p, 1), n(p, 2))) for p in SIZES), make(F.lit(0), F.lit(0)))
+    sane = lambda w, h: F.when((w > 50) & (w < 5000) & (h > 50) & (h < 5000), F.struct(w.alias("width"), h.alias("height")))
+    return F.coalesce(*(matched(url, p, 2, lambda w, h: sane(w.try_cast("int"), h.try_cast("int"))) for p in SIZES), F.struct(F.lit(0).alias("width"), F.lit(0).alias("height")))
 
 
 def _clamped(x: Column) -> Column:

@@ -104,16 +104,23 @@ def image_audit(listing: DataFrame) -> DataFrame:
     return out.withColumn("batches", F.ceil(F.col("thumbnail_only") / 500))
 
 
+#: Parts of a collection in the search for its first events.
+PARTS = 256
+
+
 def full_scan(listing: DataFrame, examples: int = 5) -> DataFrame:
     """Per collection: events, with images, with thumbnails, needing thumbnails, their mean image size, and the first ``examples`` of them by ``ord``."""
     need = F.col("image") & ~F.col("thumb")
-    rank = Window.partitionBy("collection", need).orderBy("first_ord", "event_id")
-    each = event_files(listing).withColumn("_r", F.row_number().over(rank))
-    shown = F.array_sort(F.collect_list(F.when(need & (F.col("_r") <= examples), F.struct("_r", "event_id"))))
-    return each.groupBy("collection").agg(
-        F.count("*").alias("events"), F.count_if("image").alias("with_images"), F.count_if("thumb").alias("with_thumbnails"), F.count_if(need).alias("needing_thumbnails"), F.avg(F.when(need, F.col("image_size"))).alias("mean_image_size"),
-        F.array_join(F.transform(shown, lambda x: x["event_id"]), ",").alias("examples"),
-    )
+    # The first of each of many parts of a collection, then the first of those: a collection's events never meet in one task.
+    part = Window.partitionBy("collection", F.pmod(F.xxhash64("event_id"), F.lit(PARTS))).orderBy("first_ord", "event_id")
+    rank = Window.partitionBy("collection").orderBy("first_ord", "event_id")
+    each = event_files(listing)
+    first = each.filter(need).select("collection", "event_id", "first_ord", F.row_number().over(part).alias("_p")).filter(F.col("_p") <= examples)
+    first = first.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= examples)
+    named = first.groupBy("collection").agg(F.array_sort(F.collect_list(F.struct("_r", "event_id"))).alias("_shown"))
+    totals = each.groupBy("collection").agg(F.count("*").alias("events"), F.count_if("image").alias("with_images"), F.count_if("thumb").alias("with_thumbnails"), F.count_if(need).alias("needing_thumbnails"), F.avg(F.when(need, F.col("image_size"))).alias("mean_image_size"))
+    shown = F.array_join(F.transform("_shown", lambda x: x["event_id"]), ",")
+    return totals.join(named, "collection", "left").withColumn("examples", F.coalesce(shown, F.lit(""))).drop("_shown")
 
 
 def needing_thumbnails(listing: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import fixes
 from marquee.functions.addresses import completed_address
-from marquee.functions.common import contains_any, round_half_up, squeeze, text
+from marquee.functions.common import contains_any, let, round_half_up, squeeze, text
 from marquee.functions.moments import flexible_time
 from marquee.functions.validators import valid_url
 from marquee.operators.events import CATEGORIES
@@ -40,7 +40,7 @@ def _missing(x: Column) -> Column:
 def fixed_categories(given: Column, words: Column, mapping: Mapping[str, str]) -> Column:
     """Struct of value, fixes and wrong: valid names kept, others mapped, the first two, without repeats; without any, inferred from ``words``, else Music."""
     trimmed = F.transform(F.coalesce(given, F.array().cast("array<string>")), lambda c: F.trim(c))
-    mapped = F.transform(trimmed, lambda c: F.struct(c.alias("old"), F.when(c.isin(CATEGORIES), c).otherwise(fixes.map_category(c, mapping)["category"]).alias("new"), fixes.map_category(c, mapping)["confidence"].alias("confidence")))
+    mapped = F.transform(trimmed, lambda c: let(fixes.map_category(c, mapping), lambda m: F.struct(c.alias("old"), F.when(c.isin(CATEGORIES), c).otherwise(m["category"]).alias("new"), m["confidence"].alias("confidence"))))
     kept = F.filter(mapped, lambda m: m["new"].isNotNull())
     inferred = fixes.infer_category(words, mapping)
     guess, sure = F.coalesce(inferred["category"], F.lit("Music")), F.coalesce(inferred["confidence"], F.lit(30)).cast("int")

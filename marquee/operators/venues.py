@@ -50,21 +50,29 @@ def _grams(x: Column) -> Column:
     return F.array_distinct(F.concat(*(runs(n) for n in range(1, GRAM + 1))))
 
 
+def _rarest(short: DataFrame, key: str, long: DataFrame, other: str) -> DataFrame:
+    """``key`` and gram of each text of ``short``: of its runs of GRAM characters (itself if shorter) the one that the fewest texts of ``long`` have. Whatever contains the text has that run, so a word that all have decides nothing."""
+    count = long.select(other).distinct().select(F.explode(_grams(F.col(other))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(key) - GRAM + 1)), lambda i: F.substring(key, i, F.lit(GRAM)))
+    own = short.select(key).distinct().select(key, F.explode(F.array_distinct(runs)).alias("gram")).join(count, "gram", "left")
+    return own.groupBy(key).agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+
+
 def looked_up(names: DataFrame, venues: DataFrame) -> DataFrame:
     """``names`` (id, name, city) with address: of the venue (ord, name, address) of that name, else the first whose name contains it or is contained in it and whose address has the city, if one is given.
 
-    Of two texts of which one contains the other, the longer has the first
-    characters of the shorter somewhere, so both meet at those, by an equi join.
-    Keys without letters or digits meet nothing. Of repeated ids the rows count as one.
+    Of two texts of which one contains the other, the longer has every run of
+    characters of the shorter, so both meet at the rarest of those, by an equi
+    join. Keys without letters or digits meet nothing. Of repeated ids the rows
+    count as one.
     """
     q = names.select("id", venue_key(F.col("name")).alias("q"), F.lower(text(F.col("city"))).alias("city")).filter("q <> ''")
     v = venues.select("ord", venue_key(F.col("name")).alias("key"), "address").filter("key <> ''")
     first = F.min(F.struct("ord", "address"))["address"]
     exact = q.join(v.groupBy("key").agg(first.alias("exact")), F.col("q") == F.col("key")).groupBy("id").agg(F.min("exact").alias("exact"))
-    head = lambda c: F.substring(c, 1, GRAM)
-    inside = q.withColumn("gram", F.explode(_grams(F.col("q")))).join(v.withColumn("gram", head(F.col("key"))), "gram").filter(F.contains("q", F.col("key")))
-    around = q.withColumn("gram", head(F.col("q"))).join(v.withColumn("gram", F.explode(_grams(F.col("key")))), "gram").filter(F.contains("key", F.col("q")))
-    met = inside.unionByName(around).filter((F.col("city") == "") | F.contains(F.lower("address"), F.col("city")))
+    inside = q.withColumn("gram", F.explode(_grams(F.col("q")))).join(v.join(_rarest(v, "key", q, "q"), "key"), "gram").filter(F.contains("q", F.col("key")))
+    around = q.join(_rarest(q, "q", v, "key"), "q").join(v.withColumn("gram", F.explode(_grams(F.col("key")))), "gram").filter(F.contains("key", F.col("q")))
+    met = inside.select("id", "city", "ord", "address").unionByName(around.select("id", "city", "ord", "address")).filter((F.col("city") == "") | F.contains(F.lower("address"), F.col("city")))
     partial = met.groupBy("id").agg(first.alias("partial"))
     out = names.join(exact, "id", "left").join(partial, "id", "left")
     return out.withColumn("address", F.coalesce("exact", "partial")).drop("exact", "partial")
