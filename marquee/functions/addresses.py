@@ -95,3 +95,16 @@ def completed_address(address: Column, venue: Column, city: str = "Austin", stat
         return F.when(last, make(F.concat(F.array_join(F.slice(words, F.lit(1), F.greatest(n - 2, F.lit(0))), " "), F.lit(", "), F.get(words, n - 2), F.lit(", "), F.get(words, n - 1)), 80, F.lit("Formatted venue, city, state")))
 
     return let(squeeze(address), complete)
+
+
+#: What begins a place's name, and the places at which its address begins.
+BEFORE_VENUE = r"(?i)^(at\s+|the\s+|in\s+|located\s+at\s+)"
+AFTER_VENUE = r"(?i),?\s+(Austin|San Francisco|Oakland|Berkeley|San Jose|TX|CA|Texas|California|United States).*$"
+
+
+def venue_of_address(x: Column) -> Column:
+    """The venue that an address names: without a leading small word, of "x at y" the y, up to a known city or state or the first number; null for an empty address."""
+    bare = F.regexp_replace(x, BEFORE_VENUE, "")
+    named = F.regexp_replace(bare, r"(?i)^(.+?)\s+at\s+(.+)$", "$2")
+    out = F.trim(F.regexp_replace(F.regexp_replace(named, AFTER_VENUE, ""), r"\s*,?\s*\d+.*$", ""))
+    return F.when(text(x) != "", out)

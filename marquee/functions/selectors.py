@@ -1,8 +1,9 @@
 """Selectors of elements as conditions on the element table.
 
 A selector is a comma-separated list of chains; a chain is tags, classes, ids,
-attributes ([a], [a="v"], [a*="v"], [a^="v"], [a$="v"]), :first-child and
-:last-child, and a space says "somewhere inside".
+attributes ([a], [a="v"], [a*="v"], [a^="v"], [a$="v"], and with i before the
+bracket in either case), :first-child and :last-child, and a space says
+"somewhere inside".
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions.markup import PAGE, inside
 
-_PART = re.compile(r"""(?P<tag>^[a-z][a-z0-9]*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)|\[(?P<attr>[\w:-]+)(?:(?P<op>[*^$]?=)"(?P<value>[^"]*)")?\]|:(?P<edge>first|last)-child""")
+_PART = re.compile(r"""(?P<tag>^[a-z][a-z0-9]*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)|\[(?P<attr>[\w:-]+)(?:(?P<op>[*^$]?=)"(?P<value>[^"]*)"(?P<fold>\s+i)?)?\]|:(?P<edge>first|last)-child""")
 _ATTRIBUTE = {"=": lambda a, v: a == v, "*=": F.contains, "^=": F.startswith, "$=": F.endswith}
 
 
@@ -33,8 +34,8 @@ def _condition(compound: str) -> Column:
         elif m["id"]:
             c = F.col("attrs")["id"] == m["id"]
         elif m["attr"]:
-            a = F.col("attrs")[m["attr"]]
-            c = _ATTRIBUTE[m["op"]](a, F.lit(m["value"])) if m["op"] else a.isNotNull()
+            a = F.lower(F.col("attrs")[m["attr"]]) if m["fold"] else F.col("attrs")[m["attr"]]
+            c = _ATTRIBUTE[m["op"]](a, F.lit(m["value"].lower() if m["fold"] else m["value"])) if m["op"] else a.isNotNull()
         else:
             c = F.col("child") == 1 if m["edge"] == "first" else F.col("last_child")
         out = out & c
@@ -44,7 +45,7 @@ def _condition(compound: str) -> Column:
 
 
 def _chains(selector: str) -> list[tuple[str, ...]]:
-    return [tuple(c.split()) for c in re.split(r",(?![^\[]*\])", selector)]
+    return [tuple(re.split(r"\s+(?![^\[]*\])", c.strip())) for c in re.split(r",(?![^\[]*\])", selector)]
 
 
 def matched(rows: DataFrame, selectors: Sequence[str]) -> DataFrame:

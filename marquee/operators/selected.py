@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marquee.functions import markup
 from marquee.functions.common import squeeze
 from marquee.functions.selectors import matched
+from marquee.functions.validators import valid_image_url
 from marquee.operators.requirements import selector_confidence
 
 #: Selectors of each field in order, with their confidence. (The last description's isn't stated; it has its neighbour's.)
@@ -231,3 +232,42 @@ def listing(found: DataFrame, most: int = 10, batch: int = 3, enough: int | None
     w = Window.partitionBy("page_id")
     out = found.withColumns({"total": F.least(F.max("position").over(w), F.lit(most)), "batch": F.floor((F.col("position") - 1) / batch).cast("int")}).filter(F.col("position") <= most)
     return out if enough is None else out.filter(F.col("batch") * batch < enough)
+
+
+#: Where pages have an event's images, and what metas name one, in order.
+IMAGES = [
+    'img[class*="event" i]', 'img[class*="hero" i]', 'img[class*="featured" i]', 'img[class*="main" i]', 'img[class*="primary" i]', 'img[class*="banner" i]', ".event-image img", ".hero-image img", ".featured-image img", ".main-image img",
+    ".event-header img", ".event-card img", 'img[alt*="event" i]', 'img[alt*="concert" i]', 'img[alt*="show" i]',
+]
+IMAGE_METAS = ['meta[property="og:image"]', 'meta[name="twitter:image"]', 'meta[property="twitter:image"]', 'meta[name="image"]']
+
+
+def page_images(rows: DataFrame) -> DataFrame:
+    """page_id, position (from 1) and url of a page's images: by order of IMAGES and place, then the first of each of IMAGE_METAS; each URL once, at its first place."""
+    found = matched(rows, [*IMAGES, *IMAGE_METAS]).select("page_id", "pre", "attrs", F.explode("hits").alias("hit"))
+    meta = F.col("hit") >= len(IMAGES)
+    own = found.filter(~meta).select("page_id", "hit", "pre", F.col("attrs")["src"].alias("url"))
+    metas = found.filter(meta).groupBy("page_id", "hit").agg(F.min("pre").alias("pre"), F.min_by(F.col("attrs")["content"], "pre").alias("url"))
+    first = own.unionByName(metas).filter(valid_image_url(F.col("url"))).groupBy("page_id", "url").agg(F.min(F.struct("hit", "pre")).alias("at"))
+    return first.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("at")).alias("position"), "url")
+
+
+#: Selectors of titles, and metas that name one, in order; words of lines that are no title.
+TITLES, TITLE_METAS = ["h1", ".title", ".event-title", ".show-title", '[class*="title"]'], ['meta[property="og:title"]', 'meta[name="twitter:title"]', 'meta[name="title"]', "title"]
+NO_TITLE = ["home", "menu", "search"]
+
+
+def page_titles(rows: DataFrame) -> DataFrame:
+    """page_id, title and strategy of every page: the first element of a selector with over three characters, else a meta's up to a bar or dash, else a line of the body that reads like one, else the default."""
+    found = matched(rows, [*TITLES, *TITLE_METAS, "body"]).select("page_id", "pre", "tag", "attrs", "start", "stop", F.explode("hits").alias("hit"))
+    first = found.groupBy("page_id", "hit").agg(F.min_by(F.struct("tag", "attrs", "start", "stop"), "pre").alias("e")).select("page_id", "hit", "e.*")
+    said = markup.texts(rows, first)
+    n, body = len(TITLES), len(TITLES) + len(TITLE_METAS)
+    head = F.when(F.col("tag") == "meta", F.col("attrs")["content"]).otherwise(F.col("said"))
+    lines = F.transform(F.split("said", "\n"), _trim)
+    likely = lambda x: F.length(x).between(11, 99) & ~F.exists(F.array(*map(F.lit, NO_TITLE)), lambda w: F.contains(F.lower(x), w)) & ~x.rlike("^[0-9]") & x.rlike("[A-Za-z]{3,}")
+    value = F.when(F.col("hit") < n, F.when(F.length(_trim(F.col("said"))) > 3, _trim(F.col("said")))).when(F.col("hit") < body, F.when(F.length(head) > 3, _trim(F.substring_index(F.substring_index(head, "|", 1), "-", 1)))).otherwise(F.get(F.filter(lines, likely), F.lit(0)))
+    told = said.select("page_id", "hit", value.alias("value")).filter("value <> ''").groupBy("page_id").agg(F.min_by(F.struct("hit", "value"), "hit").alias("b"))
+    pages = rows.filter(F.col("tag") == markup.PAGE).select("page_id").join(told, "page_id", "left")
+    hit = F.col("b.hit")
+    return pages.select("page_id", F.coalesce("b.value", F.lit(UNTITLED)).alias("title"), F.when(hit < n, "heading").when(hit < body, "meta").when(hit == body, "line").otherwise("default").alias("strategy"))

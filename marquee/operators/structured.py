@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marquee.functions.common import messages, squeeze
 from marquee.functions.images import absolute_url, web_image
 from marquee.functions.trees import merged, nodes
+from marquee.operators.venues import SITE_HOSTS, site_type
 
 #: Keys of images, in order.
 IMAGE_KEYS = ["image", "photo", "logo", "thumbnail", "poster", "banner"]
@@ -122,3 +123,13 @@ def configurations(defaults: DataFrame, sites: DataFrame) -> DataFrame:
     base = known.select("site").join(F.broadcast(defaults.select("config").limit(1)))
     out = merged(base, known.select("site", "config"), ["site"], "config")
     return out.withColumn("errors", config_errors(F.parse_json("config"))).withColumn("valid", F.size("errors") == 0)
+
+
+def config_for(urls: DataFrame, configs: DataFrame) -> DataFrame:
+    """``urls`` (url: an address or a site's name) with site and config: that of the host's site, else the generic one, else null. A host of no known site is generic."""
+    address = F.startswith(F.lower("url"), F.lit("http"))
+    own = urls.withColumn("site", F.when(address, site_type(F.col("url"), SITE_HOSTS)).otherwise(F.lower("url")))
+    known = configs.select("site", "config")
+    generic = known.filter("site = 'generic'").limit(1).select(F.col("config").alias("_generic"), F.lit(1).alias("_one"))
+    found = own.join(known, "site", "left").withColumn("_one", F.lit(1)).join(F.broadcast(generic), "_one", "left")
+    return found.withColumn("config", F.coalesce("config", "_generic")).drop("_generic", "_one")

@@ -29,6 +29,10 @@ VARIANTS = [
     ]),
     ("<ul>", 3, [None, '<ul class="eventListings">', '<ul class="event-list"><li class="event-item"><h3>Item {k}</h3><span class="date">on {d}</span><div class="event-item"><h3>Nested</h3></div><li class="event-item"><span class="time">8:00</span><li class="event-item"><h3> </h3><i class="name">Second</i>']),
     ("<li><a ", 2, [None, '<li><a class="title" ']),
+    ('<meta charset="utf-8">', 3, [None, '<meta charset="utf-8"><meta property="og:image" content="http://img.example/{d}.jpg"><meta name="twitter:title" content="Tw {k} | Site - x"><meta name="image" content="http://img.example/x.png">', '<meta name="title" content="ab">']),
+    ("<h1>", 4, [None, "<h2>", '<h1> ab </h1><h2 class="Show-Title">', "<h4>\n12 menu\nA fine line {k}\n"]),
+    ("<title>", 5, [None, "<title>- ", None, "<title>x|", None]),
+    ("<b>", 3, [None, '<img class="Main-Photo" src="http://img.example/{k}.jpg" alt="Concert"><b>', '<div class="event-header"><img src="http://img.example/{d}.jpg" class="HERO"></div><img alt="the SHOW" src="no"><b>']),
     ("<footer>", 4, [None, '<footer class="ticket-price">${k}0.00 &amp; up, ', '<footer class="price-display">All free {k} ', '<footer class="description">']),
 ]
 
@@ -99,7 +103,7 @@ def _is(compound: str, t: str) -> str:
     """A compound selector over row ``t`` of e."""
     out = [f"{t}.tag = '{m[0]}'" for m in [re.match(r"[a-z][a-z0-9]*", compound)] if m] or [f"{t}.pre > 0"]
     out += [rf"regexp_matches({_attr(t, 'class')}, '(^|\s){c}(\s|$)')" for c in re.findall(r"\.([\w-]+)", re.sub(r"\[[^\]]*\]", "", compound))]
-    out += [f"{_attr(t, a)} LIKE {quoted('%' + v + '%' if op else v)}" if v else f"{_attr(t, a)} IS NOT NULL" for a, op, v in re.findall(r'\[([\w-]+)(?:(\*)?="([^"]*)")?\]', compound)]
+    out += [f"{_attr(t, a)} {'ILIKE' if fold else 'LIKE'} {quoted('%' + v + '%' if op else v)}" if v else f"{_attr(t, a)} IS NOT NULL" for a, op, v, fold in re.findall(r'\[([\w-]+)(?:(\*)?="([^"]*)"( i)?)?\]', compound)]
     out += [f"{t}.child = 1"] if ":first-child" in compound else []
     out += [f"{t}.child = (SELECT children FROM e up WHERE up.page_id = {t}.page_id AND up.pre = {t}.parent)"] if ":last-child" in compound else []
     return " AND ".join(out)
@@ -113,7 +117,7 @@ def _chain(chain: list[str], t: str = "x") -> str:
 
 
 def _found(css: str) -> str:
-    return " OR ".join(f"({_chain(c.split())})" for c in css.split(","))
+    return " OR ".join(f"({_chain(re.split(chr(32) + r'(?!i])', c.strip()))})" for c in css.split(","))
 
 
 _PRE = "x.page_id, CAST(x.pre AS INT) AS pre"
@@ -235,3 +239,32 @@ _RECORDS = f"""found AS ({" UNION ALL ".join(f"SELECT x.page_id, x.pre, x.last,
 )
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selected.listing(selected.records(page_table(spark, sf_dir)), most=5)
+
+
+_SHOWN = " UNION ALL ".join(f"SELECT {_PRE}, {i} AS hit, {_attr('x', 'src' if css in selected.IMAGES else 'content')} AS url FROM e x WHERE {_found(css)}" for i, css in enumerate([*selected.IMAGES, *selected.IMAGE_METAS]))
+
+
+@query(
+    "page_images",
+    rf"""WITH {ELEMENTS}, a AS ({_SHOWN}), f AS (SELECT * FROM a QUALIFY hit < {len(selected.IMAGES)} OR row_number() OVER (PARTITION BY page_id, hit ORDER BY pre) = 1),
+    u AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY hit, pre) AS again FROM f WHERE url LIKE 'http://%' AND (regexp_matches(url, '(?i)\.(jpg|jpeg|png|gif|webp|svg)(\?.*)?$') OR regexp_matches(url, '(?i)image|img|photo|pic|cdn|media')))
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY hit, pre) AS INT) AS position, url FROM u WHERE again = 1""",
+)
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selected.page_images(page_table(spark, sf_dir))
+
+
+_HEADS = " UNION ALL ".join(f"SELECT x.page_id, x.pre, {i} AS hit, {_TRIM.format('x.said')} AS said, {_attr('x', 'content')} AS content FROM e x WHERE {_found(css)}" for i, css in enumerate([*selected.TITLES, *selected.TITLE_METAS, "body"]))
+_N, _BODY = len(selected.TITLES), len(selected.TITLES) + len(selected.TITLE_METAS)
+
+
+@query(
+    "universal_titles",
+    rf"""WITH {ELEMENTS}, a AS ({_HEADS}), f AS (SELECT *, CASE WHEN hit < {_BODY - 1} THEN content ELSE said END AS head FROM a QUALIFY row_number() OVER (PARTITION BY page_id, hit ORDER BY pre) = 1),
+    l AS (SELECT page_id, min(i) AS i FROM (SELECT page_id, unnest(string_split(said, chr(10))) AS line, generate_subscripts(string_split(said, chr(10)), 1) AS i FROM f WHERE hit = {_BODY}) WHERE length(trim(line)) BETWEEN 11 AND 99 AND NOT regexp_matches(lower(line), 'home|menu|search') AND NOT regexp_matches(trim(line), '^[0-9]') AND regexp_matches(line, '[A-Za-z]{{3,}}') GROUP BY page_id),
+    v AS (SELECT f.page_id, hit, CASE WHEN hit < {_N} THEN CASE WHEN length(said) > 3 THEN said END WHEN hit < {_BODY} THEN CASE WHEN length(head) > 3 THEN {_TRIM.format("split_part(split_part(head, '|', 1), '-', 1)")} END ELSE trim(string_split(said, chr(10))[l.i]) END AS value FROM f LEFT JOIN l ON f.page_id = l.page_id),
+    b AS (SELECT * FROM v WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY hit) = 1)
+    SELECT p.page_id, coalesce(value, 'Untitled Event') AS title, CASE WHEN hit < {_N} THEN 'heading' WHEN hit < {_BODY} THEN 'meta' WHEN hit = {_BODY} THEN 'line' ELSE 'default' END AS strategy FROM pages p LEFT JOIN b ON p.page_id = b.page_id""",
+)
+def universal_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selected.page_titles(page_table(spark, sf_dir))

@@ -7,8 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.functions.addresses import venue_of_address
 from marquee.operators import structured
-from marquee.plans.derive import quoted
+from marquee.plans.derive import pick, pick_sql, quoted
 from marquee.plans.registry import query
 from marquee.session import table
 
@@ -111,3 +112,34 @@ def merged_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = table(spark, sf_dir, "customer").select(F.col("c_name").alias("site"), F.when(F.col("c_custkey") % 11 == 0, "{no json").otherwise(F.expr(_config(0))).alias("config"))
     defaults = spark.range(1).select(F.lit(DEFAULTS).alias("config"))
     return structured.configurations(defaults, sites).select("site", "config", F.array_join("errors", "|").alias("errors"), "valid")
+
+
+HOSTS = ["https://www.eventbrite.com/e/{n}", "http://m.facebook.com/x", "https://do512.com", "songkick", "https://example.org/meetup", "http://venue.timeout.co.uk/a", "YELP", "https://{n}.example/", "fb.me"]
+_HOST = f"replace({pick_sql('o_orderkey', HOSTS)}, '{{n}}', CAST(o_custkey AS VARCHAR))"
+
+
+@query(
+    "site_configs",
+    f"""WITH t AS (SELECT o_orderkey AS id, o_orderkey % {len(HOSTS)} AS f FROM orders) SELECT id, list_extract(['eventbrite', 'facebook', 'do512', 'songkick', 'generic', 'timeout', 'yelp', 'generic', 'fb.me'], CAST(f AS BIGINT) + 1) AS site,
+    CASE f WHEN 0 THEN '{{"c":"a"}}' WHEN 3 THEN '{{"c":"b"}}' WHEN 6 THEN '{{"c":"d"}}' ELSE '{{"c":"g"}}' END AS config FROM t""",
+)
+def site_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    urls = table(spark, sf_dir, "orders").select(k.alias("id"), F.replace(pick(k, HOSTS), F.lit("{n}"), F.col("o_custkey").cast("string")).alias("url"))
+    configs = spark.createDataFrame([("eventbrite", '{"c":"a"}'), ("songkick", '{"c":"b"}'), ("yelp", '{"c":"d"}'), ("generic", '{"c":"g"}')], "site string, config string")
+    return structured.config_for(urls, configs).drop("url")
+
+
+PLACES = ["at the Big Hall {n}, Austin, TX", "The Fillmore, San Francisco CA", "Jazz Night at Blue Note {n} Main", "{n} Main St", "Located at Kyle Barn", "in Texas", "", "Meet at Bar at Oakland Pub, Oakland", "Owl  Room, {n}"]
+
+
+@query(
+    "venues_of_addresses",
+    rf"""WITH t AS (SELECT o_orderkey AS id, replace({pick_sql('o_orderkey', PLACES)}, '{{n}}', CAST(o_custkey AS VARCHAR)) AS x FROM orders), b AS (SELECT id, x, regexp_replace(x, '^(at\s+|the\s+|in\s+|located\s+at\s+)', '', 'i') AS y FROM t),
+    n AS (SELECT id, x, CASE WHEN regexp_matches(y, '(?i)^.+?\s+at\s+.+$') THEN regexp_extract(y, '(?i)^(.+?)\s+at\s+(.+)$', 2) ELSE y END AS y FROM b)
+    SELECT id, CASE WHEN x <> '' THEN trim(regexp_replace(regexp_replace(y, ',?\s+(Austin|San Francisco|Oakland|Berkeley|San Jose|TX|CA|Texas|California|United States).*$', '', 'i'), '\s*,?\s*[0-9]+.*$', '')) END AS venue FROM n""",
+)
+def venues_of_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    x = F.replace(pick(k, PLACES), F.lit("{n}"), F.col("o_custkey").cast("string"))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), venue_of_address(x).alias("venue"))

@@ -36,3 +36,8 @@ def csv_lines(rows: DataFrame) -> DataFrame:
 def csv_report(rows: DataFrame, path: str) -> None:
     """``csv_lines`` with the columns' names as the first line of each file."""
     csv_lines(rows).withColumnRenamed("line", ",".join(rows.columns)).write.option("header", True).option("quote", "").csv(path, sep="\x01")
+
+
+def report(stats: DataFrame, path: str, at: str) -> None:
+    """Statistics (a bounded table, such as the venues of ``events.venue_stats``) as JSON in one file, with the time ``at`` which they were made."""
+    stats.withColumn("timestamp", F.lit(at)).coalesce(1).write.mode("error").json(path)

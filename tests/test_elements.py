@@ -35,12 +35,12 @@ def test_intervals(spark):
 def test_selectors(spark):
     html = '<div class="event-location x"><h1 id=t>A</h1><p data-k="v1">B</p><section><p>C</p><p>D</p></section></div><p class="x">E</p><h1 class="main title">F</h1>'
     rows = table(spark, html)
-    css = ['[class*="location"] h1', ".x", "div section p:first-child", "section p:last-child", "#t, .title", "[data-k]", '[data-k^="v"]', '[data-k$="2"]', "p.x", '[class="x"]', "div div p", ".titl", "div p"]
+    css = ['[class*="location"] h1', ".x", "div section p:first-child", "section p:last-child", "#t, .title", "[data-k]", '[data-k^="v"]', '[data-k$="2"]', "p.x", '[class="x"]', "div div p", ".titl", "div p", '[class*="LOCATION" i] h1', '[class*="LOCATION"] h1']
     said = {i: [] for i in range(len(css))}
     for r in markup.texts(rows, matched(rows, css)).orderBy("pre").collect():
         for i in r.hits:
             said[i].append(r.said)
-    assert [said[i] for i in range(len(css))] == [["A"], ["ABCD", "E"], ["C"], ["D"], ["A", "F"], ["B"], ["B"], [], ["E"], ["E"], [], [], ["B", "C", "D"]]
+    assert [said[i] for i in range(len(css))] == [["A"], ["ABCD", "E"], ["C"], ["D"], ["A", "F"], ["B"], ["B"], [], ["E"], ["E"], [], [], ["B", "C", "D"], ["A"], []]
     for bad in ("p:hover", "a>b", "", "p[x~=y]"):
         with pytest.raises(ValueError):
             _condition(bad)
@@ -86,3 +86,12 @@ def test_records_and_listing(spark):
     assert got == [(0, i + 1, str(i), f"d{i}", None) for i in range(8)] + [(2, 1, "N", "t", None)]
     cut = selected.listing(rows, most=7, batch=3, enough=5).filter("page_id = 0").orderBy("position").collect()
     assert [(r.position, r.batch, r.total) for r in cut] == [(i, (i - 1) // 3, 7) for i in range(1, 7)]
+
+
+def test_images_and_titles_of_pages(spark):
+    html = '<meta name="image" content="http://x.example/m.png"><meta name="image" content="http://x.example/second.png"><img class="HERO" src="http://x.example/a.jpg"><img alt="a Show" src="http://x.example/b.jpg"><img class="event" src="http://x.example/b.jpg"><img class="event" src="no url"><img class="event">'
+    got = [(r.position, r.url) for r in selected.page_images(table(spark, html)).orderBy("position").collect()]
+    assert got == [(1, "http://x.example/b.jpg"), (2, "http://x.example/a.jpg"), (3, "http://x.example/m.png")]
+    pages = ['<h1>ab</h1><b class="event-title"> Real Title </b>', '<h1>ab</h1><title>Page - Site</title>', '<meta name="title" content="|x long"><body>home page of it\n12 things to do\nshort\n  A line to read  \n</body>', "", None, '<meta property="og:title" content="From | meta">']
+    got = {r.page_id: (r.title, r.strategy) for r in selected.page_titles(table(spark, *pages)).collect()}
+    assert got == {0: ("Real Title", "heading"), 1: ("Page", "meta"), 2: ("A line to read", "line"), 3: ("Untitled Event", "default"), 4: ("Untitled Event", "default"), 5: ("From", "meta")}

@@ -28,6 +28,8 @@ def test_sinks(spark, tmp_path):
     kept = writers.delete(events, gone, ["collection", "event_id"])
     assert sorted(r.event_id for r in kept.collect()) == [1, 3] == sorted(r.event_id for r in dedupe.without_deleted(events).collect())
     assert writers.backup(events, str(tmp_path / "b"), "now").first().total_events == 3
+    writers.report(kept.groupBy("venue").count(), str(tmp_path / "r"), "now")
+    assert {(r.venue, r["count"], r.timestamp) for r in spark.read.json(str(tmp_path / "r")).collect()} == {("v", 2, "now")}
     writers.append_routed(kept, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).filter("collection = 'x'").count() == 1
 
