@@ -154,9 +154,12 @@ def mix(docs: DataFrame, labelled: DataFrame, domain: str = "lang", targets: dic
     totals to ``power``, scaled so that no domain shrinks. ``least``: lower
     bound of rates. domain is the likeliest one (null without words); copies is
     the rate rounded up or down by a hash of the id, so that its mean is the
-    rate. Columns of ``docs`` with one of these names give way. A null or empty text has no tokens and keeps rate 1, and so have all
-    texts if no row is labelled. Repeated rows each give a row. An empty table
-    gives none. Warns if targets are missed by over a thousandth.
+    rate. Columns of ``docs`` with one of these names give way. A null or empty
+    text has no tokens and keeps rate 1, and so have all texts if no row is
+    labelled. Rows with a null id or a null ``domain`` label nothing, and are
+    rated like any other. Repeated rows each give a row. An empty table gives
+    none. Warns if targets are missed by over a thousandth: ``least`` can put
+    them out of reach, as rates then only add to the domains that are too large.
     """
     if set(docs.columns) & set(ADDED) - {domain}:
         docs = docs.drop(*(set(ADDED) - {domain}))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from marquee.llm import lines
@@ -32,3 +33,10 @@ def test_ratio_and_edges(spark):
     assert got[32].clean_text == "menu" and got[33].n_dropped == 0
     assert out.count() == len(rows)
     assert lines.drop_boilerplate(docs.limit(0), F.col("source"), F.col("text")).count() == 0
+
+
+def test_reserved_names(spark):
+    docs = documents(spark, [(1, "a")])
+    for name in sorted(lines.RESERVED):
+        with pytest.raises(ValueError, match="reserved"):
+            lines.drop_boilerplate(docs.withColumn(name, F.lit(1)), F.col("source"), F.col("text"))
