@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions.common import squeeze
+from marquee.functions.common import contains_any, let, squeeze
 
 #: Words of venues.
 KEYWORDS = [
@@ -46,7 +46,7 @@ def _texts(values: list[str]) -> Column:
 
 def _any(x: Column, words: list[str]) -> Column:
     """Whether x has one of the words anywhere, in either case."""
-    return F.exists(_texts(sorted({w.lower() for w in words})), lambda w: F.contains(F.lower(x), w))
+    return contains_any(F.lower(x), sorted({w.lower() for w in words}))
 
 
 def title_case(x: Column) -> Column:
@@ -62,15 +62,19 @@ def tidy(x: Column) -> Column:
 
 def city_in(x: Column) -> Column:
     """The first known city that x has anywhere, else the word before the first letters of a state ("Reno, CA"); null if neither."""
-    lower = F.lower(x)
-    known = F.get(F.filter(_texts(CITIES), lambda c: F.contains(lower, F.lower(c))), F.lit(0))
 
-    def before(state: Column) -> Column:
-        at = F.instr(lower, F.lower(state))
-        word = F.element_at(F.split(F.trim(F.substring(x, F.lit(1), F.greatest(at - 1, F.lit(0)))), " "), -1)
-        return F.when((at > 0) & (F.length(word) > 2), F.concat(title_case(word), F.lit(", "), state))
+    def found(lower: Column) -> Column:
+        known = F.get(F.filter(_texts(CITIES), lambda c: F.contains(lower, F.lower(c))), F.lit(0))
 
-    return F.coalesce(known, F.get(F.filter(F.transform(_texts(STATES), before), lambda s: s.isNotNull()), F.lit(0)))
+        def before(state: Column) -> Column:
+            at = F.instr(lower, F.lower(state))
+            word = F.element_at(F.split(F.trim(F.substring(x, F.lit(1), F.greatest(at - 1, F.lit(0)))), " "), -1)
+            return let(F.when(at > 0, word), lambda w: F.when(F.length(w) > 2, F.concat(title_case(w), F.lit(", "), state)))
+
+        # Most texts have none of the cities, which one look at all of them tells.
+        return F.coalesce(F.when(lower.rlike("|".join(c.lower() for c in CITIES)), known), F.get(F.filter(F.transform(_texts(STATES), before), lambda s: s.isNotNull()), F.lit(0)))
+
+    return let(F.lower(x), found)
 
 
 def _after_city(x: Column, city: Column) -> Column:
@@ -96,14 +100,23 @@ def sureness(x: Column) -> Column:
 
 def keyword_window(x: Column) -> Column:
     """Struct of tenths and name: of the windows of three words before to two after each keyword the surest, the first of several; null without a keyword."""
-    words, lower = F.split(x, " "), F.split(F.lower(x), " ")
     one, two = (sorted({k.lower() for k in KEYWORDS if len(k.split()) == n}) for n in (1, 2))
-    pair = lambda i: F.concat(F.get(lower, i), F.lit(" "), F.get(lower, i + 1))
-    size = lambda i: F.when(F.array_contains(_texts(two), F.coalesce(pair(i), F.lit(""))), 2).when(F.array_contains(_texts(one), F.get(lower, i)), 1)
-    window = lambda i: F.array_join(F.slice(words, F.greatest(i - 3, F.lit(0)) + 1, F.least(i + size(i) + 2, F.size(words)) - F.greatest(i - 3, F.lit(0))), " ")
-    hits = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: size(i).isNotNull())
-    found = F.transform(hits, lambda i: F.struct(sureness(window(i)).alias("tenths"), (-i).alias("early"), window(i).alias("name")))
-    return F.array_max(found)
+
+    def windows(w: Column) -> Column:
+        words, lower = w["words"], w["lower"]
+        pair = lambda i: F.coalesce(F.concat(F.get(lower, i), F.lit(" "), F.get(lower, i + 1)), F.lit(""))
+        size = lambda i: F.when(pair(i).isin(two), 2).when(F.get(lower, i).isin(one), 1)
+        hits = F.filter(F.transform(lower, lambda _, i: F.struct(i.alias("i"), size(i).alias("size"))), lambda h: h["size"].isNotNull())
+
+        def window(h: Column) -> Column:
+            first = F.greatest(h["i"] - 3, F.lit(0))
+            name = F.array_join(F.slice(words, first + 1, F.least(h["i"] + h["size"] + 2, F.size(words)) - first), " ")
+            return let(name, lambda n: F.struct(sureness(n).alias("tenths"), (-h["i"]).alias("early"), n.alias("name")))
+
+        return F.array_max(F.transform(hits, window))
+
+    found = let(F.struct(F.split(x, " ").alias("words"), F.split(F.lower(x), " ").alias("lower")), windows)
+    return F.when(_any(x, KEYWORDS), found)
 
 
 def located(rows: DataFrame, column: str) -> DataFrame:
@@ -139,7 +152,7 @@ def located(rows: DataFrame, column: str) -> DataFrame:
     here = _after_city(t, F.col("_city"))
     r = r.withColumns({"_here": here, "_before": F.trim(F.substring(t, F.lit(1), F.greatest(here - 1, F.lit(0))))})
     before = F.col("_before")
-    ends = F.exists(_texts(sorted({k.lower() for k in KEYWORDS})), lambda k: F.endswith(F.lower(before), k))
+    ends = F.lower(before).rlike(f"({'|'.join(sorted({k.lower() for k in KEYWORDS}))})$")
     near_city = (F.length(before) > 5) & ~(before.rlike("^[0-9]") & _any(before, STREETS)) & (ends | (F.size(F.split(before, " ")) <= 5))
     # Words around a keyword; the address is what is left of the text.
     name = tidy(F.col("_window.name"))
