@@ -48,9 +48,9 @@ _FOLD = r"trim(regexp_replace(lower({}), '[\s\x{{00A0}}]+', ' ', 'g'))"
 @query(
     "title_scores",
     rf"""WITH t AS (SELECT id, t AS f, trim(substr(t, 1 + id % 20, id % 50)) AS t, source FROM {_PIECES})
-    SELECT id, CAST(greatest(0, 50 + {_YES("regexp_matches(t, '^[A-Z]')", 5)} + {_YES('length(t) BETWEEN 10 AND 60', 10)} + {_YES("regexp_matches(t, '[&]|feat\\.|featuring|with|presents')", 5)} + {_YES("strpos(f, t) - 1 < length(f) * 0.2", 10)} - {_YES("regexp_matches(t, '[0-9]{4}')", 5)}
-      - {_YES("regexp_matches(t, '\\$[0-9]')", 10)} - {_YES("len(string_split(t, ' ')) > 12", 10)}) AS INT) AS confidence,
-    concat_ws('|', nullif({_FOLD.format('t')}, ''), nullif({_FOLD.format('source')}, ''), nullif({_FOLD.format("substr(f, 1, 5)")}, '')) AS key FROM t WHERE f <> ''""".replace("\\\\", "\\"),
+    SELECT id, CAST(greatest(0, 50 + {_YES("regexp_matches(t, '^[A-Z]')", 5)} + {_YES('length(t) BETWEEN 10 AND 60', 10)} + {_YES(r"regexp_matches(t, '[&]|feat\.|featuring|with|presents')", 5)} + {_YES("strpos(f, t) - 1 < length(f) * 0.2", 10)} - {_YES("regexp_matches(t, '[0-9]{4}')", 5)}
+      - {_YES(r"regexp_matches(t, '\$[0-9]')", 10)} - {_YES("len(string_split(t, ' ')) > 12", 10)}) AS INT) AS confidence,
+    concat_ws('|', nullif({_FOLD.format('t')}, ''), nullif({_FOLD.format('source')}, ''), nullif({_FOLD.format("substr(f, 1, 5)")}, '')) AS key FROM t WHERE f <> ''""",
 )
 def title_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces(spark, sf_dir).filter("t <> ''").selectExpr("id", "t AS f", "trim(substr(t, 1 + id % 20, id % 50)) AS t", "source")
@@ -123,7 +123,7 @@ def quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), n.alias("n"), F.col("l_quantity").cast("double").alias("q"), (F.col("l_discount") * 100).cast("double").alias("d"), (F.col("l_tax") * 1000).cast("double").alias("x"))
     kind, message = derive.pick(F.col("n"), ["network down", "parsing", "validation", "x", "y"]), derive.pick(F.col("n"), ["timeout of it", "cannot parse", "bad"])
     total = quality.weighted_total({"q": F.col("q"), "d": F.col("d"), "x": F.col("x")}, {"q": 0.5, "d": 0.3, "x": 0.2})
-    return rows.select("id", "n", quality.leak_risk(F.col("q")).alias("risk"), quality.speed_score(F.col("q"), 40).alias("speed"), quality.error_class(kind, message).alias("class"), F.col("q").isNotNull().alias("_"), total.cast("decimal(12,4)").alias("total")).drop("_")
+    return rows.select("id", "n", quality.leak_risk(F.col("q")).alias("risk"), quality.speed_score(F.col("q"), 40).alias("speed"), quality.error_class(kind, message).alias("class"), total.cast("decimal(12,4)").alias("total"))
 
 
 _CATS = ["Music", "Bars", "Art Events", "Art Shows", "Films"]
@@ -131,12 +131,12 @@ _CATS = ["Music", "Bars", "Art Events", "Art Shows", "Films"]
 
 @query(
     "checked_events",
-    f"""WITH t AS (SELECT *, list_filter(list_transform(range(event_id % 4), lambda i: ['Music', 'Bars', 'Art Events', 'Art Shows', 'Films'][1 + (event_id + i) % 5]), lambda c: true) AS cats FROM {derive.EVENTS} e),
+    f"""WITH t AS (SELECT *, list_transform(range(event_id % 4), lambda i: ['Music', 'Bars', 'Art Events', 'Art Shows', 'Films'][1 + (event_id + i) % 5]) AS cats FROM {derive.EVENTS} e),
     c AS (SELECT *, CASE WHEN event_id % 6 = 5 THEN NULL ELSE cats END AS categories FROM t)
-    SELECT event_id, (categories IS NOT NULL)::INT + 0 AS has_categories, CASE WHEN categories IS NULL OR len(categories) = 0 THEN 'at least one category is required' WHEN len(categories) > 2 THEN 'maximum 2 categories allowed' WHEN len(list_filter(categories, lambda x: x IN ('Films', 'Art Events'))) > 0 THEN 'invalid category' END AS problem,
+    SELECT event_id, (categories IS NOT NULL)::INT AS has_categories, CASE WHEN categories IS NULL OR len(categories) = 0 THEN 'at least one category is required' WHEN len(categories) > 2 THEN 'maximum 2 categories allowed' WHEN len(list_filter(categories, lambda x: x IN ('Films', 'Art Events'))) > 0 THEN 'invalid category' END AS problem,
     array_to_string(list_transform(categories, lambda x: CASE WHEN x = 'Art Events' THEN 'Art Shows' ELSE x END), ',') AS renamed,
-    CAST(6 + (categories IS NULL)::INT - 1 + (address <> '' AND NOT contains(address, ','))::INT + (startTime <> '' AND NOT regexp_full_match(startTime, '[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}'))::INT + coalesce((len(categories) = 0)::INT, 0) + coalesce((len(categories) > 2)::INT, 0)
-      + coalesce(len(list_filter(categories, lambda x: x IN ('Films', 'Art Events'))), 0) AS INT) AS errors FROM c""".replace("CAST(6 + (categories IS NULL)::INT - 1", "CAST(4 + (categories IS NULL)::INT"),
+    CAST(4 + (categories IS NULL)::INT + (address <> '' AND NOT contains(address, ','))::INT + (startTime <> '' AND NOT regexp_full_match(startTime, '[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}'))::INT + coalesce((len(categories) = 0)::INT, 0) + coalesce((len(categories) > 2)::INT, 0)
+      + coalesce(len(list_filter(categories, lambda x: x IN ('Films', 'Art Events'))), 0) AS INT) AS errors FROM c""",
 )
 def checked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
