@@ -48,9 +48,14 @@ def field_confidence(rows: DataFrame) -> DataFrame:
 
 
 def overall_confidence(fields: DataFrame) -> DataFrame:
-    """Weighted mean over a page's fields, rounded; title, date and address count double."""
+    """Weighted mean over a page's fields, to nine decimals and then rounded half up; title, date and address count double.
+
+    Sums of doubles depend on the order of their rows in the last bits, which
+    the nine decimals take off, so that a mean of exactly a half is always rounded up.
+    """
     w = F.when(F.col("field").isin(KEY_FIELDS), 2.0).otherwise(1.0)
-    return fields.groupBy("page_id").agg(F.floor(F.sum(w * F.col("confidence")) / F.sum(w) + 0.5).alias("overall"))
+    mean = F.round(F.sum(w * F.col("confidence")) / F.sum(w), 9)
+    return fields.groupBy("page_id").agg(F.floor(mean + 0.5).alias("overall"))
 
 
 def sources(rows: DataFrame) -> DataFrame:

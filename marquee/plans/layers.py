@@ -37,7 +37,7 @@ def layer_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     "layer_confidence",
     f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY page_id, field ORDER BY confidence DESC, layer) AS rank, list_extract([1.0, 0.8, 0.7, 0.6, 0.4, 0.5], layer) AS w FROM {ROWS}),
     f AS (SELECT r.page_id, r.field, coalesce(sum(r.w * r.confidence) FILTER (WHERE r.value = t.value AND r.field <> 'tags') / sum(r.w) FILTER (WHERE r.value = t.value AND r.field <> 'tags'), 0) AS c FROM r JOIN r t ON r.page_id = t.page_id AND r.field = t.field AND t.rank = 1 GROUP BY ALL)
-    SELECT page_id, CAST(floor(sum(CASE WHEN field IN ('title', 'date', 'address') THEN 2.0 ELSE 1.0 END * c) / sum(CASE WHEN field IN ('title', 'date', 'address') THEN 2.0 ELSE 1.0 END) + 0.5) AS BIGINT) AS overall FROM f GROUP BY page_id""",
+    SELECT page_id, CAST(floor(round(sum(CASE WHEN field IN ('title', 'date', 'address') THEN 2.0 ELSE 1.0 END * c) / sum(CASE WHEN field IN ('title', 'date', 'address') THEN 2.0 ELSE 1.0 END), 9) + 0.5) AS BIGINT) AS overall FROM f GROUP BY page_id""",
 )
 def layer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.overall_confidence(layers.field_confidence(layer_rows(spark, sf_dir)))

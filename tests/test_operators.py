@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import itertools
 
 from pyspark.sql import functions as F
 
 from marquee.functions import categories, images as image_functions, prices, text
-from marquee.operators import dedupe, events, images, quality, ranks, requests
+from marquee.operators import dedupe, events, images, layers, quality, ranks, requests
 from marquee.sources import readers, writers
 
 
@@ -93,3 +94,11 @@ def test_readers_and_writers(spark, tmp_path):
     content = "A | http://x\n1 Main St, Austin, TX\nB | http://y\n2 Oak Ave, Oakland, CA\na | http://z\n9 Elm Rd, Austin, TX\n"
     got = {r.key: (r.name, r.address, r.ord) for r in readers.venue_list(spark.createDataFrame([("list", content)], "source string, content string")).collect()}
     assert got == {"a": ("a", "9 Elm Rd, Austin, TX", 0), "b": ("B", "2 Oak Ave, Oakland, CA", 2)}  # the last one's values in the first one's place
+
+
+def test_a_mean_of_a_half_in_any_order(spark):
+    """26.5, 58/3 and 58/3 weigh 2, 2, 1 and a field of 0 weighs 1: 18.5 exactly, which sums of doubles give or miss by their order."""
+    fields = [("title", 26.5), ("date", 58 / 3), ("venue", 58 / 3), ("tags", 0.0)]
+    for order in itertools.permutations(fields):
+        rows = spark.createDataFrame([(1, *f) for f in order], "page_id long, field string, confidence double").coalesce(1)
+        assert layers.overall_confidence(rows).first().overall == 19
