@@ -84,9 +84,10 @@ def completed_address(address: Column, venue: Column, city: str = "Austin", stat
 
     def complete(t: Column) -> Column:
         named = make(F.concat(t, F.lit(f", {city}, {state}")), 60, F.lit("Added city and state to venue name"))
-        places = F.transform(F.array(*map(F.lit, MAJOR_CITIES)), lambda c: F.struct(c.alias("city"), F.position(F.lower(c), F.lower(t)).alias("at")))
+        known = F.array(*(F.struct(F.lit(c).alias("city"), F.lit(c.lower()).alias("lower")) for c in MAJOR_CITIES))
+        first = let(F.lower(t), lambda low: F.get(F.filter(known, lambda c: F.position(c["lower"], low) > 1), F.lit(0)))
         split_at = lambda x: F.when(x["at"] > 1, make(F.concat(F.trim(F.substring(t, F.lit(1), x["at"] - 1)), F.lit(", "), F.trim(F.substring(t, x["at"], F.length(t)))), 85, F.concat(F.lit("Identified city: "), x["city"])))
-        by_city = let(F.get(F.filter(places, lambda x: x["at"] > 1), F.lit(0)), split_at)
+        by_city = let(let(first, lambda c: F.struct(c["city"].alias("city"), F.position(c["lower"], F.lower(t)).alias("at"))), split_at)
         return F.coalesce(F.when((text(venue) != "") & (t == venue), named), by_city, let(F.split(t, r"\s+"), by_state))
 
     def by_state(words: Column) -> Column:

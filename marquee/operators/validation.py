@@ -18,6 +18,7 @@ from marquee.functions.common import contains_any, let, round_half_up, squeeze,
 from marquee.functions.moments import flexible_time
 from marquee.functions.validators import valid_url
 from marquee.operators.events import CATEGORIES
+from marquee.session import short_methods
 
 LEAST_CONFIDENCE = 70
 _FIX = "struct<field:string,old:string,new:string,reason:string,confidence:int>"
@@ -30,7 +31,8 @@ def _fix(field: str, old: Column, new: Column, reason: Column | str, confidence:
 
 
 def _fixes(*pairs: tuple[Column, Column]) -> Column:
-    return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), f) for c, f in pairs)).cast(f"array<{_FIX}>"))
+    """The fixes whose conditions hold, as generated code: a filter over an array would evaluate all of them one expression at a time."""
+    return F.concat(*(F.when(F.coalesce(c, F.lit(False)), F.array(f)).otherwise(F.array()).cast(f"array<{_FIX}>") for c, f in pairs))
 
 
 def _missing(x: Column) -> Column:
@@ -38,27 +40,40 @@ def _missing(x: Column) -> Column:
 
 
 def fixed_categories(given: Column, words: Column, mapping: Mapping[str, str]) -> Column:
-    """Struct of value, fixes and wrong: valid names kept, others mapped, the first two, without repeats; without any, inferred from ``words``, else Music."""
+    """Struct of value, fixes and wrong: valid names kept, others mapped, the first two, without repeats; without any, inferred from ``words``, else Music.
+
+    What was mapped, kept and inferred is each computed once (``let``): a struct's
+    parts would each repeat all of it, with a walk over the keywords every time.
+    """
     trimmed = F.transform(F.coalesce(given, F.array().cast("array<string>")), lambda c: F.trim(c))
-    mapped = F.transform(trimmed, lambda c: let(fixes.map_category(c, mapping), lambda m: F.struct(c.alias("old"), F.when(c.isin(CATEGORIES), c).otherwise(m["category"]).alias("new"), m["confidence"].alias("confidence"))))
-    kept = F.filter(mapped, lambda m: m["new"].isNotNull())
-    inferred = fixes.infer_category(words, mapping)
-    guess, sure = F.coalesce(inferred["category"], F.lit("Music")), F.coalesce(inferred["confidence"], F.lit(30)).cast("int")
-    names = F.transform(kept, lambda m: m["new"])
-    none = F.size(names) == 0
-    two = F.slice(names, 1, 2)
-    value = F.when(none, F.array(guess)).otherwise(F.array_distinct(two))
-    joined = F.array_join(given, ",")
-    by_map = F.transform(F.filter(kept, lambda m: ~m["old"].isin(CATEGORIES)), lambda m: _fix("categories", m["old"], m["new"], "mapped", m["confidence"]))
-    more = _fixes(
-        (none, _fix("categories", joined, guess, F.when(inferred.isNull(), "default").otherwise("inferred"), sure)), (F.size(names) > 2, _fix("categories", joined, F.array_join(two, ","), "limited to 2", 80)),
-        (F.size(F.array_distinct(two)) < F.size(two), _fix("categories", F.array_join(two, ","), F.array_join(F.array_distinct(two), ","), "repeats removed", 90)),
-    )
-    # Anything else that changed (white space at the ends) is one fix.
-    changed = (F.size(by_map) == 0) & (F.size(more) == 0) & (F.array_join(value, "|") != F.array_join(given, "|"))
-    more = F.concat(more, _fixes((changed, _fix("categories", joined, F.array_join(value, ","), "cleaned", 85))))
-    wrong = F.transform(F.filter(mapped, lambda m: m["new"].isNull()), lambda m: m["old"])
-    return F.struct(value.alias("value"), F.concat(by_map, more).alias("fixes"), wrong.alias("wrong"))
+    part = lambda old, new, confidence: F.struct(old.alias("old"), new.alias("new"), confidence.cast("int").alias("confidence"))
+    valid = lambda c: F.coalesce(c.isin(CATEGORIES), F.lit(False))
+    one = lambda c: F.when(valid(c), part(c, c, F.lit(None))).otherwise(let(fixes.map_category(c, mapping), lambda m: part(c, m["category"], m["confidence"])))
+
+    def of(mapped: Column, names: Column, inferred: Column) -> Column:
+        guess, sure = F.coalesce(inferred["category"], F.lit("Music")), F.coalesce(inferred["confidence"], F.lit(30)).cast("int")
+        none = F.size(names) == 0
+        two = F.slice(names, 1, 2)
+        value = F.when(none, F.array(guess)).otherwise(F.array_distinct(two))
+        joined = F.array_join(given, ",")
+        by_map = F.transform(F.filter(mapped, lambda m: m["new"].isNotNull() & ~m["old"].isin(CATEGORIES)), lambda m: _fix("categories", m["old"], m["new"], "mapped", m["confidence"]))
+        more = _fixes(
+            (none, _fix("categories", joined, guess, F.when(inferred.isNull(), "default").otherwise("inferred"), sure)), (F.size(names) > 2, _fix("categories", joined, F.array_join(two, ","), "limited to 2", 80)),
+            (F.size(F.array_distinct(two)) < F.size(two), _fix("categories", F.array_join(two, ","), F.array_join(F.array_distinct(two), ","), "repeats removed", 90)),
+        )
+        wrong = F.transform(F.filter(mapped, lambda m: m["new"].isNull()), lambda m: m["old"])
+
+        def whole(by_map: Column, more: Column) -> Column:
+            # Anything else that changed (white space at the ends) is one fix.
+            changed = (F.size(by_map) == 0) & (F.size(more) == 0) & (F.array_join(value, "|") != F.array_join(given, "|"))
+            last = _fixes((changed, _fix("categories", joined, F.array_join(value, ","), "cleaned", 85)))
+            return F.struct(value.alias("value"), F.concat(by_map, more, last).alias("fixes"), wrong.alias("wrong"))
+
+        return let(by_map, lambda b: let(more, lambda m: whole(b, m)))
+
+    kept = lambda mapped: F.transform(F.filter(mapped, lambda m: m["new"].isNotNull()), lambda m: m["new"])
+    inferred = lambda names: F.when(F.size(names) == 0, fixes.infer_category(words, mapping))
+    return let(F.transform(trimmed, one), lambda mapped: let(kept(mapped), lambda names: let(inferred(names), lambda i: of(mapped, names, i))))
 
 
 def validate(events: DataFrame, mapping: Mapping[str, str], as_of: Column, city: str = "Austin", state: str = "TX", least: int = LEAST_CONFIDENCE) -> DataFrame:
@@ -68,6 +83,7 @@ def validate(events: DataFrame, mapping: Mapping[str, str], as_of: Column, city:
     the fixes', 100 without any; below ``least`` the event is not valid. Each
     step is a projection of its own, so that no fix is computed twice.
     """
+    short_methods(events.sparkSession)
     for name, kind in (("title", "string"), ("description", "string"), ("categories", "array<string>"), ("address", "string"), ("startDate", "string"), ("endDate", "string"), ("startTime", "string"), ("endTime", "string"), ("price", "string"), ("url", "string"), ("image", "string"), ("venue", "string")):
         if name not in events.columns:
             events = events.withColumn(name, F.lit(None).cast(kind))
@@ -87,9 +103,10 @@ def validate(events: DataFrame, mapping: Mapping[str, str], as_of: Column, city:
     out = out.withColumn("description", description).withColumn("_fixes", F.concat("_fixes", own))
     out = out.withColumn("_c", fixed_categories(c("categories"), F.concat_ws(" ", "title", "description", "venue"), mapping))
     out = out.withColumns({"categories": c("_c.value"), "_fixes": F.concat("_fixes", "_c.fixes"), "_wrong": c("_c.wrong")}).drop("_c")
-    out = out.withColumn("_a", completed_address(c("address"), c("venue"), city, state))
     clean, tail = squeeze(c("_old.address")), f", {city}, {state}"
     no_comma = ~_missing(c("_old.address")) & ~F.contains(clean, F.lit(","))
+    # Only an address without a comma is looked through for cities.
+    out = out.withColumn("_a", F.when(no_comma, completed_address(c("address"), c("venue"), city, state)))
     address = F.when(_missing(c("address")), F.concat(F.coalesce(F.nullif(c("venue"), F.lit("")), F.lit("Venue")), F.lit(tail))).when(no_comma, F.coalesce(c("_a.value"), F.concat(clean, F.lit(tail)))).otherwise(clean)
     reason, sure = F.coalesce(c("_a.reason"), F.lit("Added default city and state")), F.coalesce(c("_a.confidence"), F.lit(40))
     own = _fixes((_missing(c("_old.address")), _fix("address", c("_old.address"), c("address"), "default", 30)), (no_comma, _fix("address", c("_old.address"), c("address"), reason, sure)))
@@ -132,7 +149,7 @@ def validate(events: DataFrame, mapping: Mapping[str, str], as_of: Column, city:
     sure = F.coalesce(F.array_min(F.transform("fixes", lambda f: f["confidence"])), F.lit(100))
     out = out.withColumn("confidence", F.least(F.lit(100), sure))
     errors.append((c("confidence") < least, F.format_string(f"Confidence score %d%% below minimum {least}%%", "confidence")))
-    said = lambda pairs: F.array_compact(F.array(*(F.when(F.coalesce(k, F.lit(False)), v) for k, v in pairs)))
+    said = lambda pairs: F.concat(*(F.when(F.coalesce(k, F.lit(False)) & v.isNotNull(), F.array(v)).otherwise(F.array().cast("array<string>")) for k, v in pairs))
     out = out.withColumns({"errors": said(errors), "warnings": said(warnings)})
     gone = [x for x in out.columns if x.startswith("_") and x not in events.columns]
     return out.withColumn("valid", F.size("errors") == 0).drop(*gone)

@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from marquee.functions import fixes
-from marquee.operators import events, layers, requests
+from marquee.operators import events, layers, requests, validation
 
 
 def one(spark, value, build):
@@ -86,3 +86,14 @@ def test_located_venues(spark):
     assert locating.located(rows.limit(0), "x").count() == 0
     bad = [(texts[i][0], got[i], w) for i, (_, w) in enumerate(texts) if got[i] != w]
     assert not bad, bad
+
+
+def test_keywords_are_walked_once(spark):
+    """The plan of an event's categories looks through the keywords once for those given and once for the words, however many fixes take the outcome."""
+    rows = spark.createDataFrame([(1, [" concert ", "Music", "zzz"], "a"), (2, ["zzz"], "dance club by the bar"), (3, None, "x"), (4, ["Music", "Bars", "concert"], "x")], "id long, categories array<string>, words string")
+    mapping = {"concert": "Music", "bar": "Bars", "dance club": "Nightclubs"}
+    out = rows.select("id", validation.fixed_categories(F.col("categories"), F.col("words"), mapping).alias("c")).select("id", "c.value", "c.fixes", "c.wrong")
+    assert str(out._jdf.queryExecution().optimizedPlan()).lower().count("contains(") <= 9
+    got = {r.id: (r.value, [(f.reason, f.confidence) for f in r.fixes], r.wrong) for r in out.collect()}
+    assert got[1] == (["Music"], [("mapped", 95), ("repeats removed", 90)], ["zzz"]) and got[2] == (["Nightclubs"], [("inferred", 90)], ["zzz"])
+    assert got[3] == (["Music"], [("default", 30)], []) and got[4] == (["Music", "Bars"], [("mapped", 95), ("limited to 2", 80)], [])
