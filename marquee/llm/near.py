@@ -14,10 +14,13 @@ missed (``miss_chance``), however many texts there are: blocks hold whole
 shingles, so they get no less telling as texts get more.
 
 Texts that share a block are compared by Hamming distance of the 256 bits. Up
-to FEW in a block all are, beyond that each with CENTRES of them, chosen anew in
-each block, so work stays linear in the size of a block; a text has some 30
-blocks, and very frequent ones hold nothing but very frequent passages or a
-group of copies, whose texts share many blocks.
+to FEW in a block all are, beyond that each first with CENTRES of them, chosen
+anew in each block, which links most copies. The groups found so far then tell
+what is left (``rest_links``): a large block whose texts are in one group is
+done; in any other every two texts of different groups are compared, tile by
+tile. So no text that shares a block with another is left out, the groups are
+those of all pairs, and groups of copies cost no squares. Only blocks of a
+passage that many unrelated texts share are compared in full.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from marquee.session import materialise
 
 WORDS = ["fp", "w1", "w2", "w3"]
 SIMILARITY, PER_BLOCK, BLOCKS = 0.8, 4, 24
-FEW, CENTRES = 32, 3
+FEW, CENTRES, TILE = 32, 3, 2048
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: What tells one deal of the shingles from another.
 _DEALS = flat.mix(np.arange(1, BLOCKS + 1, dtype=np.uint64))
@@ -139,6 +142,54 @@ def wide_links(classes: DataFrame, distance: int) -> DataFrame:
     return both.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
+def _unlike(distance: int):
+    """Links of a pair of tiles: of two texts of different groups, at most ``distance`` bits apart."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        column = lambda c: table.column(c).to_numpy().astype(np.int64)
+        cid, root, tile = column("cid"), column("root"), column("tile")
+        bits = np.stack([column(w) for w in WORDS]).view(np.uint64)
+        low, high = key[1].as_py(), key[2].as_py()
+        x, y = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for a in range(0, len(x), 64):
+            own = x[a : a + 64]
+            apart = np.zeros((len(own), len(y)), np.uint16)
+            for w in bits:
+                apart += np.bitwise_count(w[own][:, None] ^ w[y][None, :])
+            i, j = np.nonzero((apart <= distance) & (root[own][:, None] != root[y][None, :]))
+            found.append((cid[own][i], cid[y][j]))
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+        # Of the links between two groups one is enough, as groups are linked already.
+        at = np.searchsorted(cid[order := np.argsort(cid)], [a, b])
+        ends = root[order][at]
+        _, first = np.unique(np.sort(ends, axis=0), axis=1, return_index=True) if len(a) else (None, np.zeros(0, np.int64))
+        return pa.table({"a": pa.array(np.minimum(a, b)[first]), "b": pa.array(np.maximum(a, b)[first])})
+
+    return run
+
+
+def rest_links(classes: DataFrame, groups: DataFrame, distance: int) -> DataFrame:
+    """Links (a, b) that join groups (node, root) of ``classes`` (cid, the 256 bits, keys) in blocks of over FEW: all that their centres left out.
+
+    A class without a row in ``groups`` is a group of its own. Blocks of one
+    group are left out; the others are cut into tiles of TILE by hash, and
+    every two tiles are one group of rows, so a task holds two tiles at most.
+    """
+    named = classes.join(groups.hint("merge"), classes["cid"] == groups["node"], "left").select("cid", *WORDS, "keys", F.coalesce("root", "cid").alias("root"))
+    entries = named.select("cid", "root", *WORDS, F.explode("keys").alias("key"))
+    mixed = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).filter((F.col("n") > FEW) & (F.col("least") < F.col("most")))
+    mixed = materialise(mixed.select("key", "n", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "mixed_blocks")
+    total = mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not total:
+        return classes.limit(0).select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+    own = _lookup(entries, mixed, "key", "n", total).withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    own = own.select("key", "cid", "root", *WORDS, "tile", other)
+    own = own.select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "cid", "root", *WORDS, "tile")
+    return own.groupBy("key", "low", "high").applyInArrow(_unlike(distance), "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame, shingle: int = 5, distance: int = 4, blocks: int = 8, wide: int = 48) -> DataFrame:
     """doc_id and component_id (smallest doc_id reachable) of every row of ``docs`` (doc_id, text).
 
@@ -159,7 +210,10 @@ def near_groups(docs: DataFrame, shingle: int = 5, distance: int = 4, blocks: in
     edges = close.join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     same = _lookup(classes.select("fp", "cid"), first.filter("members > 1"), "fp", "members", classes.count()).filter("cid <> rep")
     edges = edges.unionByName(same.select(F.col("rep").alias("a"), F.col("cid").alias("b"))).unionByName(wide_links(classes.select("cid", *WORDS, "keys"), wide))
-    found = components(edges)
+    found = materialise(components(edges), "groups")
+    rest = materialise(rest_links(classes.select("cid", *WORDS, "keys"), found, wide), "rest_links")
+    if not rest.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b").unionByName(rest))
     linked = classes.join(found.hint("merge"), classes["cid"] == found["node"]).select("cid", "root", "least")
     roots = materialise(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "roots")
     total = roots.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]

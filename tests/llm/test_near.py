@@ -106,3 +106,23 @@ def test_edges(spark):
     assert near.near_groups(docs.limit(0)).count() == 0
     s = {r.doc_id: r for r in near.sketches(documents(spark, [(1, "The cat sat on the mat today"), (2, "")])).collect()}
     assert s[1].fp & (2**64 - 1) == brute_fingerprint("The cat sat on the mat today", 5) and s[2].keys == [] and s[2].fp == 0
+
+
+def test_large_blocks_leave_out_no_pair(spark, monkeypatch):
+    """One block of unrelated texts with pairs 48 bits apart, over several tiles: its centres meet few of the pairs, and the rest is compared in full."""
+    monkeypatch.setattr(near, "TILE", 64)
+    rng = random.Random(8)
+    bits = [rng.getrandbits(256) for _ in range(150)]
+    bits += [b ^ sum(1 << i for i in rng.sample(range(256), 48 if j % 2 else 49)) for j, b in enumerate(bits[:40])]
+    word = lambda b, i: int.from_bytes((b >> 64 * i & (1 << 64) - 1).to_bytes(8, "little"), "little", signed=True)
+    rows = [(cid, *(word(b, i) for i in range(4)), [7, 1000 + cid]) for cid, b in enumerate(bits)]
+    classes = spark.createDataFrame(rows, "cid long, fp long, w1 long, w2 long, w3 long, keys array<long>")
+    want = {(a, b) for b in range(len(bits)) for a in range(b) if (bits[a] ^ bits[b]).bit_count() <= 48}
+    assert len(want) == 20
+    met = {(r.a, r.b) for r in near.wide_links(classes, 48).collect()}
+    assert met < want
+    groups = near.components(spark.createDataFrame(sorted(met) or [(0, 0)], "a long, b long"))
+    rest = {(r.a, r.b) for r in near.rest_links(classes, groups, 48).collect()}
+    assert rest == want - met
+    one = spark.createDataFrame([(i, 0) for i in range(len(bits))], "node long, root long")
+    assert near.rest_links(classes, one, 48).count() == 0
