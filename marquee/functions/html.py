@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.common import contains_any
+from marquee.session import small_batches
 
 #: Meta names with the field they give and its confidence.
 META = {
@@ -23,6 +24,8 @@ META = {
     "twitter:title": ("title", 75), "twitter:description": ("description", 75), "twitter:image": ("imageUrl", 80), "twitter:image:src": ("imageUrl", 80), "twitter:url": ("sourceUrl", 75), "twitter:site": ("twitterSite", 70),
     "twitter:creator": ("twitterCreator", 70), "title": ("metaTitle", 60), "description": ("description", 65), "keywords": ("keywords", 50), "author": ("author", 60), "robots": ("robots", 40), "canonical": ("canonicalUrl", 70),
 }
+#: Pages whose rows are held at once.
+PAGES = 128
 TITLE_CONFIDENCE, MICRODATA_CONFIDENCE = 70, 75
 EVENT_WORDS = ["event", "concert", "show", "performance", "festival"]
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -96,10 +99,13 @@ def page_rows(html: str | None) -> list[tuple[str, str, str]]:
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """page_id, ord, kind, name and value of what each page (page_id, html) holds. A null page has an empty text alone."""
+    """page_id, ord, kind, name and value of what each page (page_id, html) holds. A null page has an empty text alone.
+
+    A task holds the rows of PAGES pages at a time, whatever the size of the table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in (b.slice(i, PAGES) for b in batches for i in range(0, b.num_rows, PAGES)):
             ids, rows = [], []
             for page, html in zip(x.column(0).to_pylist(), x.column(1), strict=True):
                 own = page_rows(html.as_py())
@@ -108,6 +114,7 @@ def elements(pages: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.string()) for c in columns[1:])], ["page_id", "ord", "kind", "name", "value"])
 
+    small_batches(pages.sparkSession, PAGES)
     return pages.selectExpr("cast(page_id AS long) AS page_id", "html").mapInArrow(run, "page_id long, ord int, kind string, name string, value string")
 
 

@@ -23,3 +23,16 @@ def test_elements_and_layers(spark):
 def test_query(spark):
     rows = page_fields(spark, SF).collect()
     assert {r.page_id for r in rows if r.field == "title"} == set(range(50))
+
+
+def test_few_pages_are_held_at_once(spark):
+    """Whatever the size of a table, a task's batches have the pages of one slice."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 10_000)
+    pages = spark.range(1000).coalesce(1).selectExpr("id AS page_id", "concat('<title>t', id, '</title>') AS html")
+    got = html.elements(pages)
+    assert int(spark.conf.get(key)) <= html.PAGES
+    rows = got.collect()
+    assert len(rows) == 2000 and {r.value for r in rows if r.kind == "title"} == {f"t{i}" for i in range(1000)}
+    spark.conf.set(key, before)
