@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from marquee.functions import forms
 from marquee.functions.common import contains_any, first_match, text
 from marquee.functions.venues import clean_name, name_quality, valid_name
+from marquee.session import spread
 
 _SCAN = "id long, field string, family string, ord int, g array<string>, found string, at int, size int, before string, after string"
 
@@ -60,18 +61,6 @@ def scan(texts: DataFrame, fields: Sequence[str] = ("date", "time", "price", "ve
     return spread(texts.select(F.col("id").cast("long").alias("id"), text(F.col("text")).alias("text"))).mapInArrow(find, _SCAN)
 
 
-#: Bytes of text that a core may get by files alone.
-SPREAD_BYTES = 64 << 20
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` on all cores: a table of few partitions is dealt out before work that is heavy for its size; a large one stays where it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    # The planner's estimate needs no plan to run, nor to be made ready to run.
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(cores) if size < cores * SPREAD_BYTES else rows
-
-
 def _g(i: int) -> Column:
     return F.get("g", F.lit(i))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions.common import messages, squeeze
 from marquee.functions.images import absolute_url, web_image
-from marquee.functions.trees import merged, nodes
+from marquee.functions.trees import nodes, overlaid
 from marquee.operators.venues import SITE_HOSTS, site_type
 
 #: Keys of images, in order.
@@ -36,7 +36,7 @@ def json_images(rows: DataFrame, keys: list[str], text: str, base: str) -> DataF
     image's go.
     """
     bases = [] if base in keys else [base]
-    found = nodes(rows, [*keys, *bases], text).filter("kind = 'object'").select(*keys, *bases, "path", "value")
+    found = nodes(rows, [*keys, *bases], text, ("object",)).select(*keys, *bases, "path", "value")
     named = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(k).alias("key"), _at(F.col("value"), f"$.{k}", "variant").alias("v")) for i, k in enumerate(IMAGE_KEYS)))
     own = found.select(*keys, *bases, "path", F.inline(named)).filter("v is not null")
     items = _at(F.col("v"), "$", "array<variant>")
@@ -67,7 +67,7 @@ def listed_events(blocks: DataFrame, keys: list[str], text: str) -> DataFrame:
     taken. What an address lacks is left out.
     """
     at_top = F.forall("names", lambda n: n.isNull() | (n == GRAPH))
-    events = nodes(blocks, keys, text).filter("kind = 'object'").filter(at_top).filter(F.arrays_overlap(_types(F.col("value")), F.array(*map(F.lit, LISTED))))
+    events = nodes(blocks, keys, text, ("object",)).filter(at_top).filter(F.arrays_overlap(_types(F.col("value")), F.array(*map(F.lit, LISTED))))
     v = F.col("value")
     start = F.split(_said(v, "$.startDate"), "T")
     part = lambda p: _said(v, f"$.location.address.{p}")
@@ -120,9 +120,9 @@ def config_errors(config: Column) -> Column:
 def configurations(defaults: DataFrame, sites: DataFrame) -> DataFrame:
     """Configuration of every site (site, config: JSON) over the defaults (one row, config), with its errors and whether it is valid. A site's text that is no JSON leaves it out."""
     known = sites.filter(F.try_parse_json("config").isNotNull())
-    base = known.select("site").join(F.broadcast(defaults.select("config").limit(1)))
-    out = merged(base, known.select("site", "config"), ["site"], "config")
-    return out.withColumn("errors", config_errors(F.parse_json("config"))).withColumn("valid", F.size("errors") == 0)
+    base = F.broadcast(defaults.select(F.col("config").alias("_defaults")).limit(1))
+    out = overlaid(known.select("site", "config").join(base, F.lit(True), "left"), ["site"], "_defaults", "config", "config")
+    return out.withColumn("_v", F.parse_json("config")).withColumn("errors", config_errors(F.col("_v"))).drop("_v").withColumn("valid", F.size("errors") == 0)
 
 
 def config_for(urls: DataFrame, configs: DataFrame) -> DataFrame:

@@ -55,3 +55,24 @@ def test_config_errors(spark, text, errors):
 
     got = spark.createDataFrame([(text,)], "j string").select(structured.config_errors(F.parse_json("j")).alias("e")).first().e
     assert len(got) == errors, got
+
+
+def test_repeated_sites_are_rows_of_their_own(spark):
+    defaults = spark.createDataFrame([('{"a":{"x":1,"y":[1]}}',)], "config string")
+    sites = spark.createDataFrame([("s", '{"a":{"x":2}}'), ("s", '{"a":{"y":1.50,"k\\u0041":"\\/"}}'), ("t", None), ("s", '{"a":{"x":2}}')], "site string, config string")
+    got = sorted(r.config for r in structured.configurations(defaults, sites).collect())
+    assert [json.loads(c) for c in got] == [{"a": {"x": 1, "y": 1.5, "kA": "/"}}, {"a": {"x": 2, "y": [1]}}, {"a": {"x": 2, "y": [1]}}]
+
+
+def test_any_depth_is_one_pass(spark):
+    """No table is written for a level, and a text of 900 levels is read like one of three."""
+    rows = spark.createDataFrame([(1, '{"a":[' * 450 + ' "x" ' + "]}" * 450), (2, '[1 , {"b" : "q\\\\\\"]}" } ]')], "id long, j string")
+    spark.sparkContext.setJobGroup("trees", "trees")
+    try:
+        found = trees.nodes(rows, ["id"], "j")
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("trees")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = found.select("id", "kind", "raw", "value").selectExpr("id", "kind", "raw", "to_json(value) AS value").collect()
+    assert sum(r.id == 1 for r in got) == 901
+    assert [(r.kind, r.raw, r.value) for r in got if r.id == 2] == [("list", '[1 , {"b" : "q\\\\\\"]}" } ]', '[1,{"b":"q\\\\\\"]}"}]'), ("value", None, "1"), ("object", '{"b" : "q\\\\\\"]}" }', '{"b":"q\\\\\\"]}"}'), ("value", None, '"q\\\\\\"]}"')]
