@@ -89,6 +89,14 @@ VENUES = [
     ("venue", "locations", r"\b([A-Z][A-Za-z\s]{2,30}),\s*([A-Z]{2})\b"),
 ]
 ALL = DATES + TIMES + PRICES + VENUES
+#: By a part of a pattern, in order, what any match of it has one of, in lower case.
+NEEDED = [
+    ("[-–—]", ("-", "–", "—")), (r"\d{1,2})/(", ("/",)), (r"\d{1,2})-(", ("-",)), ("today", ("today", "tonight")), ("tomorrow", ("tomorrow",)), (r"this\s", ("this",)), (r"next\s", ("next",)), (r"\s+of\s+", ("of",)), ("(?:st|nd|rd|th)\\s", ("st", "nd", "rd", "th")),
+    ("doors?|door)", ("door",)), ("starts?)", ("show", "performance", "concert", "event", "start")), ("circa", ("around", "about", "approximately", "~", "circa")), ("live|", ("live", "performing", "playing", "appearing")), ("venue|location", ("venue", "location")),
+    (r"in\s+([A-Z]", ("in",)), ("(?:at|@)", ("at", "@")), ("(free|", ("free",)), ("no charge", ("no c", "compl", "gratis")), ("admission free", ("free",)), (r"\$0\.", ("$0",)), ("dollars", ("dollar", "buck")), ("(?:to|through)", ("to", "through")), ("starting", ("from", "starting")), (")?)\\+", ("+",)),
+    ("minimum", ("low", "minimum")), ("maximum", ("up", "max")), ("under|", ("under", "less", "below")), (":?\\s*\\$", ("ticket", "admission", "cover", "entry", "cost")), ("(?:tickets?|", ("ticket", "admission", "cover", "entry")), ("general", ("general", "adult", "regular", "standard")),
+    ("student", ("student", "senior", "child", "youth")), ("advance", ("advance", "pre", "early")), (r"day\s*of", ("door", "day")), (r"([A-Z]{2})\b", (",",)),
+]
 #: Characters of context that each field looks at on either side.
 CONTEXT = {"date": 20, "time": 30, "price": 40, "venue": 50}
 

@@ -26,14 +26,19 @@ from pyspark.sql import functions as F
 from marquee.functions import forms
 from marquee.functions.common import contains_any, first_match, text
 from marquee.functions.venues import clean_name, name_quality, valid_name
-from marquee.session import spread
+from marquee.session import short_methods, spread
 
 _SCAN = "id long, field string, family string, ord int, g array<string>, found string, at int, size int, before string, after string"
 
 
+def needed(pattern: str) -> tuple[str, ...]:
+    """Texts in lower case of which every match of a form has one; empty where none is known. A form is tried only on texts that have one."""
+    return next((words for sign, words in forms.NEEDED if sign in pattern), ())
+
+
 @functools.cache
-def _compiled(fields: tuple[str, ...]) -> list[tuple[str, str, re.Pattern, int]]:
-    return [(f, family, re.compile(p, re.ASCII), forms.CONTEXT[f]) for f, family, p in forms.ALL if f in fields]
+def _compiled(fields: tuple[str, ...]) -> list[tuple[str, str, re.Pattern, int, tuple[str, ...]]]:
+    return [(f, family, re.compile(p, re.ASCII), forms.CONTEXT[f], needed(p)) for f, family, p in forms.ALL if f in fields]
 
 
 def scan(texts: DataFrame, fields: Sequence[str] = ("date", "time", "price", "venue")) -> DataFrame:
@@ -48,8 +53,10 @@ def scan(texts: DataFrame, fields: Sequence[str] = ("date", "time", "price", "ve
         for x in batches:
             out = []
             for i, t in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
-                n = 0
-                for field, family, pattern, reach in forms_of if t else ():
+                n, low = 0, (t or "").lower()
+                for field, family, pattern, reach, words in forms_of if t else ():
+                    if words and not any(w in low for w in words):
+                        continue
                     for m in pattern.finditer(t):
                         a, b = m.span()
                         out.append((i, field, family, n, list(m.groups()), m[0], a, len(t), t[max(0, a - reach) : a], t[b : b + reach]))
@@ -221,12 +228,18 @@ def distinct(rows: DataFrame) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(ranked)).drop("_r", "_first")
 
 
+#: Texts whose matches one task sorts.
+TASK_TEXTS = 1 << 15
+
+
 def extract(texts: DataFrame, as_of: Column, fields: Sequence[str] = ("date", "time", "price", "venue")) -> DataFrame:
     """Distinct ranked matches of ``fields`` in ``texts`` (id, text)."""
     every = {"date": lambda r: dates(r, as_of), "time": times, "price": prices, "venue": venues}
     out = functools.reduce(DataFrame.unionByName, [_whole(every[f](scan(texts, [f]))) for f in fields])
-    # All rows of an id together: the windows that follow need no other shuffle.
-    return distinct(out.repartition("id"))
+    short_methods(texts.sparkSession)
+    # All rows of an id together: the windows that follow need no other shuffle. What a task sorts does not grow with the table.
+    least = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return distinct(out.repartition(max(least, -(-texts.count() // TASK_TEXTS)), "id"))
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,7 @@ from marquee.functions.common import first_match, fold
 from marquee.operators import matches
 from marquee.plans.derive import TITLES, pick, pick_sql
 from marquee.plans.registry import query
-from marquee.session import table
+from marquee.session import materialise, table
 
 AS_OF = "1996-06-15"
 CLOCKS = ["7:30 PM", "12:05 am", "19:45", "at 9:00pm", "noon", "", "11:15 AM", "12:30 PM"]
@@ -44,7 +44,8 @@ def parse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors and warnings of what was parsed, and how many matches each text had."""
     texts = _flyers(spark, sf_dir)
-    every = matches.scored(matches.extract(texts, _as_of()), _as_of())
+    # Both sides of the join below count on the matches, which are found once.
+    every = materialise(matches.scored(matches.extract(texts, _as_of()), _as_of()), "scored_matches")
     parsed = matches.summary(texts, matches.best(matches.confident(every)))
     more = matches.alternatives(every).groupBy("id").agg(F.count("*").alias("n_alternatives"))
     checked = matches.checks(parsed, _as_of()).select("id", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), "valid")

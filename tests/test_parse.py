@@ -160,3 +160,37 @@ def test_sources(spark):
     rows = readers.json_ld_events(spark.createDataFrame([(1, html)], "page_id int, html string")).collect()
     assert [(r.title, r.location.venue, r.location.address, r.offers.least) for r in rows] == [("A", "V", "1 St", 5.0)]
     assert [r.value for r in readers.url_list(spark.createDataFrame([(" http://a ",), ("# x",), ("",)], "value string")).collect()] == ["http://a"]
+
+
+def test_words_that_a_form_needs(spark):
+    """A form is passed over only where it has no match."""
+    import random
+    import re
+
+    from marquee.functions import forms
+    from marquee.operators.matches import needed
+
+    rng = random.Random(5)
+    words = sorted({w for _, ws in forms.NEEDED for w in ws}) + "Tickets FREE entry no cost admission at @ in The Hall Austin, TX March 5 5th of May 7:30 pm 7 - 9pm $12 $0.00 $15+ to $20 as low as up to Under day of DOORS open Starting MONDAY this friday 1/2/2020 1-2-20 Live at Blue Note venue: 12 Main Street 5 bucks".split()
+    tried = passed = 0
+    for _ in range(3000):
+        text = rng.choice([" ", "", ": "]).join(rng.choices(words, k=rng.randrange(1, 9)))
+        for _, _, p in forms.ALL:
+            if re.search(p, text, re.ASCII):
+                own = needed(p)
+                assert not own or any(w in text.lower() for w in own), (p, text)
+                tried += 1
+            else:
+                passed += bool(needed(p))
+    assert tried > 1000 and passed > 1000
+
+
+def test_tasks_grow_in_number_not_in_size(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from marquee.operators import matches
+
+    monkeypatch.setattr(matches, "TASK_TEXTS", 10)
+    texts = spark.range(200).select("id", F.lit("March 5, 2020 at 7 PM").alias("text"))
+    plan = matches.extract(texts, F.lit("2020-01-01").cast("date"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "], 20" in next(line for line in plan.splitlines() if "RepartitionByExpression" in line), plan
