@@ -51,11 +51,23 @@ def _grams(x: Column) -> Column:
 
 
 def _rarest(short: DataFrame, key: str, long: DataFrame, other: str) -> DataFrame:
-    """``key`` and gram of each text of ``short``: of its runs of GRAM characters (itself if shorter) the one that the fewest texts of ``long`` have. Whatever contains the text has that run, so a word that all have decides nothing."""
-    count = long.select(other).distinct().select(F.explode(_grams(F.col(other))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    """``key`` and gram of each text of ``short`` whose runs of GRAM characters (itself if shorter) all stand in texts of ``long``: the run that the fewest of them have. Whatever contains the text has that run, so a word that all have decides nothing.
+
+    ``short`` and ``long`` hold each text once. The counts are broadcast: there are no more of them than distinct runs of GRAM characters.
+    """
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(key) - GRAM + 1)), lambda i: F.substring(key, i, F.lit(GRAM)))
-    own = short.select(key).distinct().select(key, F.explode(F.array_distinct(runs)).alias("gram")).join(count, "gram", "left")
-    return own.groupBy(key).agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    own = short.select(key, F.explode(F.array_distinct(runs)).alias("gram"))
+    seen = long.select(F.explode(_grams(F.col(other))).alias("gram"))
+    count = seen.groupBy("gram").agg(F.count("*").alias("n"))
+    met = own.join(F.broadcast(count), "gram", "left").groupBy(key)
+    return met.agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.bool_and(F.col("n").isNotNull()).alias("all")).filter("all").drop("all")
+
+
+def _containing(long: DataFrame, other: str, short: DataFrame, key: str) -> DataFrame:
+    """``other`` and ``key`` of the texts of ``long`` that contain one of ``short``, each text once in its table. Runs that are no text's rarest are dropped where they are made."""
+    rare = _rarest(short, key, long, other)
+    runs = long.select(other, F.explode(_grams(F.col(other))).alias("gram")).join(F.broadcast(rare.select("gram").distinct()), "gram", "left_semi")
+    return runs.join(rare, "gram").filter(F.contains(other, F.col(key))).select(other, key)
 
 
 def looked_up(names: DataFrame, venues: DataFrame) -> DataFrame:
@@ -63,19 +75,21 @@ def looked_up(names: DataFrame, venues: DataFrame) -> DataFrame:
 
     Of two texts of which one contains the other, the longer has every run of
     characters of the shorter, so both meet at the rarest of those, by an equi
-    join. Keys without letters or digits meet nothing. Of repeated ids the rows
-    count as one.
+    join. Each text is looked up once, however many rows have it. Keys without
+    letters or digits meet nothing. Of repeated ids the rows count as one.
     """
     q = names.select("id", venue_key(F.col("name")).alias("q"), F.lower(text(F.col("city"))).alias("city")).filter("q <> ''")
     v = venues.select("ord", venue_key(F.col("name")).alias("key"), "address").filter("key <> ''")
-    first = F.min(F.struct("ord", "address"))["address"]
-    exact = q.join(v.groupBy("key").agg(first.alias("exact")), F.col("q") == F.col("key")).groupBy("id").agg(F.min("exact").alias("exact"))
-    inside = q.withColumn("gram", F.explode(_grams(F.col("q")))).join(v.join(_rarest(v, "key", q, "q"), "key"), "gram").filter(F.contains("q", F.col("key")))
-    around = q.join(_rarest(q, "q", v, "key"), "q").join(v.withColumn("gram", F.explode(_grams(F.col("key")))), "gram").filter(F.contains("key", F.col("q")))
-    met = inside.select("id", "city", "ord", "address").unionByName(around.select("id", "city", "ord", "address")).filter((F.col("city") == "") | F.contains(F.lower("address"), F.col("city")))
-    partial = met.groupBy("id").agg(first.alias("partial"))
-    out = names.join(exact, "id", "left").join(partial, "id", "left")
-    return out.withColumn("address", F.coalesce("exact", "partial")).drop("exact", "partial")
+    texts, keys = q.select("q").distinct(), v.select("key").distinct()
+    pairs = _containing(texts, "q", keys, "key").unionByName(_containing(keys, "key", texts, "q"))
+    met = q.select("q", "city").distinct().join(pairs.distinct(), "q").join(v, "key")
+    has = (F.col("city") == "") | F.contains(F.lower("address"), F.col("city"))
+    # A text is in its own key, so its exact venues are met too.
+    same = F.min(F.when(F.col("q") == F.col("key"), F.struct("ord", "address")))["address"]
+    answers = met.groupBy("q", "city").agg(same.alias("exact"), F.min(F.when(has, F.struct("ord", "address"))).alias("partial"))
+    found = q.join(answers, ["q", "city"])
+    found = found.groupBy("id").agg(F.min("exact").alias("exact"), F.min("partial")["address"].alias("partial"))
+    return names.join(found, "id", "left").withColumn("address", F.coalesce("exact", "partial")).drop("exact", "partial")
 
 
 def near_names(name: Column, known: Column) -> Column:
